@@ -66,7 +66,7 @@ def _to_bitmaps(batches):
         out = []
         for dropped in b.column(2):
             at = np.array(dropped.as_py(), np.int64)
-            bits = np.ones(at.max() + 1, np.uint8)
+            bits = np.ones((at.max() // 8 + 1) * 8, np.uint8)
             bits[at] = 0
             out.append(zlib.compress(np.packbits(bits).tobytes(), 6))
         yield to_batch(schema, [b.column(0), b.column(1), pa.array(out, pa.binary())])

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageloom.llm import line_dedup, token_counts, token_output
+from pageloom.llm import line_dedup, ngram_join, token_counts, token_output
 from pageloom.llm.common import table
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ def op3_token_counts(spark, d):
 @query()
 def op4_token_output(spark, d):
     return token_output.token_output(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op6_ngram_join(spark, d):
+    return ngram_join.ngram_groups(table(spark, d, "documents"))
