@@ -1,15 +1,16 @@
 """N-gram Jaccard join: exact links between shingle sets, with a count-vector R-tree.
 
 1. Every text becomes its set of word shingles, hashed to 64 bits, and a vector of
-   counts over 64 groups of hashes. Equal sets are one node from here on.
+   counts over 256 groups of hashes. Equal sets are one node from here on.
 2. Shingles are put in one order for all texts, rare ones first (a count sketch of
    fixed size says which are common). Sets with Jaccard >= t share one of their
    first n - ceil(t n) + 1 shingles, so only those are joined.
-3. Sets that meet at a shingle are first linked along a forest: each takes the
-   partner it meets most often. Verified links give clusters.
+3. Sets that meet at a shingle are first compared with a few pivots of their size
+   there, if they meet those often. Verified links give clusters.
 4. What is left are shingles at which different clusters meet. There the count
    vectors go in an R-tree; pairs of nodes whose summed coordinate minima can't
-   reach the overlap are cut, and the pairs that survive are verified.
+   reach the overlap are cut, and so are pairs that met at too few shingles. The
+   pairs that survive are verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pageloom.llm.common import slices, stored, text_or_empty, to_batch
 from pageloom.llm.components import components
 from pageloom.llm.wordhash import mix, shingle_sets
 
-GROUPS, SKETCH, SEGMENT, LEAF = 64, 1 << 18, 1 << 12, 32
+GROUPS, SKETCH, SEGMENT, LEAF = 256, 1 << 18, 1 << 12, 32
 _NODES = "doc_id long, n int, s1 long, s2 long, vec binary, prefix array<long>"
 _NODE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
@@ -34,8 +35,10 @@ def signature(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return m.sum(dtype=np.uint64), mix(m).sum(dtype=np.uint64)
 
 
-def group_counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def group_counts(s: np.ndarray) -> bytes:
+    """Counts by group, each in as few bytes as the largest needs."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
 
 def n_prefix(n: int, pct: int) -> int:
@@ -91,7 +94,7 @@ def _index(k: int, pct: int, levels: np.ndarray):
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(int(one))
-                    vec.append(group_counts(x).tobytes())
+                    vec.append(group_counts(x))
                     m = n_prefix(len(x), pct)
                     level = levels[(x & np.uint64(SKETCH - 1)).astype(np.int64)]
                     order = np.argsort(level, kind="stable")[:m]
@@ -106,16 +109,35 @@ _MEET = "a long, b long, n int, kind int"
 _MEET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("kind", pa.int32())])
 
 
-def _meet(pct: int):
-    """From rows (h, n, s1) sorted so: neighbours in size at each shingle (kind 0: a, b, times), and rows of shared shingles (kind 1: h, s1, n)."""
+#: Odd multipliers, each an order of set ids, and their inverses.
+_ORDERS = [(np.uint64(x), np.uint64(pow(x, -1, 1 << 64))) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+
+
+def _pivot_pairs(h, n, s, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by (h, n) with the pivots of their runs, the smaller id of each pair first."""
+    size = np.floor(np.log(n) / np.log(100 / pct))
+    begins = np.ones(len(h), bool)
+    begins[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    run_of, at = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    pivots = [(np.minimum.reduceat(s.view(np.uint64) * m, at) * inv).view(np.int64)[run_of] for m, inv in _ORDERS]
+    lead, member = np.concatenate(pivots), np.tile(s, len(pivots))
+    return np.minimum(lead, member), np.maximum(lead, member)
+
+
+def _counted(pairs: dict) -> pa.RecordBatch:
+    a, b = np.array(list(pairs), np.int64).reshape(-1, 2).T
+    return to_batch(_MEET_SCHEMA, [a, b, np.array(list(pairs.values()), np.int32), np.zeros(len(a), np.int32)])
 
-    def run(batches):
-        last, last_shared, pairs = None, False, {}
 
-        def flush():
-            a, b = np.array(list(pairs), np.int64).reshape(-1, 2).T
-            return to_batch(_MEET_SCHEMA, [a, b, np.array(list(pairs.values()), np.int32), np.zeros(len(a), np.int32)])
+def _meet(pct: int):
+    """From rows (h, n, s1) sorted so: sets and the pivots of their size class at a shingle (kind 0: a, b, times), and rows of shared shingles (kind 1: h, s1, n).
+
+    A class has one pivot for each of four fixed orders of set ids, so sets of one group of near copies meet the same few
+    pivots at shingle after shingle.
+    """
 
+    def run(batches):
+        last, told, pairs = None, False, {}
         for x in batches:
             if not x.num_rows:
                 continue
@@ -124,28 +146,29 @@ def _meet(pct: int):
                 h, n, s = (np.concatenate([[p], q]) for p, q in zip(last, (h, n, s), strict=True))
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])  # the same set came from two tasks
-            keep_first = last is not None
             h, n, s = h[fresh], n[fresh], s[fresh]
             same = h[1:] == h[:-1]
-            near = same & (n[:-1].astype(np.int64) * 100 >= n[1:].astype(np.int64) * pct)
-            for p in zip(s[:-1][near].tolist(), s[1:][near].tolist(), strict=True):
-                pairs[p] = pairs.get(p, 0) + 1
-            shared = np.zeros(len(h), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            out = shared.copy()
-            out[-1] = out[-1] and same[-1] if len(same) else False  # the last row is told with its successor unless known now
-            if keep_first:
-                out[0] = out[0] and not last_shared
+            out = np.zeros(len(h), bool)
+            out[1:] |= same
+            out[:-1] |= same
+            shared = np.flatnonzero(out)
+            if len(shared):
+                a, b = _pivot_pairs(h[shared], n[shared], s[shared], pct)
+                for p in zip(a[a != b].tolist(), b[a != b].tolist(), strict=True):
+                    pairs[p] = pairs.get(p, 0) + 1
+            was = told
+            told = bool(out[-1])
+            if last is not None:
+                told = told or (len(h) == 1 and was)
+                out[0] = out[0] and not was
             if out.any():
                 yield to_batch(_MEET_SCHEMA, [h[out], s[out], n[out].astype(np.int32), np.ones(out.sum(), np.int32)])
-            last_shared = bool(out[-1]) or (len(h) == 1 and last_shared)
             last = (h[-1], n[-1], s[-1])
             if len(pairs) > 500_000:
-                yield flush()
+                yield _counted(pairs)
                 pairs = {}
         if pairs:
-            yield flush()
+            yield _counted(pairs)
 
     return run
 
@@ -171,7 +194,7 @@ class RTree:
         at = np.flatnonzero(ok)
         for s in range(0, len(at), 1 << 16):
             part = at[s : s + (1 << 16)]
-            bound = np.minimum(top_a[part], top_b[part]).sum(axis=1)
+            bound = np.minimum(top_a[part], top_b[part]).sum(axis=1, dtype=np.int64)
             ok[part] = bound * (100 + pct) >= (low_a[part] + low_b[part]) * pct
         return ok
 
@@ -204,43 +227,86 @@ class RTree:
         return a[ok], b[ok]
 
 
+def _vectors(column: list[bytes]) -> np.ndarray:
+    """Count vectors as rows, in the widest type among them."""
+    width = max(map(len, column)) // GROUPS
+    if all(len(v) == GROUPS * width for v in column):
+        return np.frombuffer(b"".join(column), f"u{width}").reshape(-1, GROUPS)
+    return np.array([np.frombuffer(v, f"u{len(v) // GROUPS}") for v in column], f"u{width}")
+
+
 def _tree_pairs(pct: int):
-    """Candidate pairs (s1 of each) from rows (h, n, s1, c, vec) sorted so, at shingles where different clusters meet."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b, n_a, n_b, times) from rows (h, n, s1, c, vec) sorted so: pairs of different clusters that the tree lets through, and at how many shingles they met."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("times", pa.int32())])
 
     def run(batches):
-        held, seen = [], set()
-
-        def joined():
-            n, s, c = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-            if (c == c[0]).all():
-                return
-            vec = np.array([np.frombuffer(v, "<u4") for x in held for v in x[4]], np.int64)
-            for i, j in RTree(vec, n).pairs(pct, c):
-                out = set(zip(np.minimum(s[i], s[j]).tolist(), np.maximum(s[i], s[j]).tolist(), strict=True)) - seen
-                if out:
-                    if len(seen) < 1_000_000:
-                        seen.update(out)
-                    a, b = np.array(list(out), np.int64).T
-                    yield to_batch(schema, [a, b])
+        found, size, rest = [], 0, None
+
+        def summed():
+            pairs, times = np.unique(np.concatenate(found), return_counts=True)
+            return to_batch(schema, [pairs["a"], pairs["b"], pairs["n_a"].astype(np.int32), pairs["n_b"].astype(np.int32), times.astype(np.int32)])
+
+        def ended(h, n, s, c, v):
+            nonlocal found, size
+            for i, j in _pairs_by_shingle(h, n, c, v, pct):
+                i, j = np.where(s[i] < s[j], i, j), np.where(s[i] < s[j], j, i)
+                found.append(np.rec.fromarrays([s[i], s[j], n[i], n[j]], names="a,b,n_a,n_b"))
+                size += len(i)
+                if size > 500_000:
+                    yield summed()
+                    found, size = [], 0
 
         for x in batches:
             if not x.num_rows:
                 continue
             h, n, s, c = (x.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            v = np.array(x.column(4).to_pylist(), object)
-            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[-1][0][-1] != h[p]:
-                    yield from joined()
-                    held = []
-                held.append((h[p:q], n[p:q].astype(np.int64), s[p:q], c[p:q], v[p:q]))
-        if held:
-            yield from joined()
+            rows = [h, n.astype(np.int64), s, c, _vectors(x.column(4).to_pylist())]
+            rows = rows if rest is None else [np.concatenate([p, q]) for p, q in zip(rest, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on in the next batch
+            rest = [r[cut:] for r in rows]
+            if cut:
+                yield from ended(*(r[:cut] for r in rows))
+        if rest is not None:
+            yield from ended(*rest)
+        if found:
+            yield summed()
 
     return run
 
 
+def _pairs_by_shingle(h, n, c, v, pct):
+    """Index pairs of each shingle's rows: groups that fill one leaf go by size, many at once; larger ones get a tree."""
+    starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    sizes = np.diff(np.concatenate([starts, [len(h)]]))
+    for m in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == m]
+        if m > LEAF:
+            for s in at:
+                tree, label = RTree(v[s : s + m], n[s : s + m]), c[s : s + m]
+                if (label != label[0]).any():
+                    for i, j in tree.pairs(pct, label):
+                        yield i + s, j + s
+            continue
+        left, right = np.triu_indices(m, 1)
+        for k in range(0, len(at), max(1, (1 << 16) // len(left))):
+            first = at[k : k + max(1, (1 << 16) // len(left)), None]
+            i, j = (first + left).reshape(-1), (first + right).reshape(-1)
+            live = (c[i] != c[j]) & (n[i] * 100 >= n[j] * pct) & (n[j] * 100 >= n[i] * pct)
+            i, j = i[live], j[live]
+            ok = np.minimum(v[i], v[j]).sum(axis=1, dtype=np.int64) * (100 + pct) >= (n[i] + n[j]) * pct
+            yield i[ok], j[ok]
+
+
+def _met_enough(pct: int):
+    """Exact bound on pairs by the number of prefix shingles they share.
+
+    Up to the earlier of the two prefix ends all shared shingles lie in both prefixes; past it at most the rest of that
+    set can be shared. So the overlap is at most times + the larger rest, and must reach pct/(100+pct) of both sizes.
+    """
+    rest = lambda n: F.ceil(F.col(n) * pct / 100) - 1
+    return (F.col("times") + F.greatest(rest("n_a"), rest("n_b"))) * (100 + pct) >= (F.col("n_a") + F.col("n_b")) * pct
+
+
 def _verified(k: int, pct: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -258,9 +324,26 @@ def _verified(k: int, pct: int):
     return run
 
 
+#: 64-bit words of the filter on document ids.
+FILTER_WORDS = 1 << 17
+
+
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id isn't in ids: a bit filter of FILTER_WORDS rows at most, joined by broadcast.
+
+    Some others may stay; a filter that is full lets all rows through, and the joins that follow are exact.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+    b = bit(ids.columns[0])
+    words = ids.groupBy(F.shiftright(b, 6).alias("_w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({ids.columns[0]}), {FILTER_WORDS * 64}L) & 63 as int))")).alias("_bits"))
+    hit = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(doc_id), {FILTER_WORDS * 64}L) & 63 as int)) & 1L) = 1L")
+    return docs.join(F.broadcast(words), F.shiftright(bit("doc_id"), 6) == F.col("_w")).filter(hit).select(*docs.columns)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
     """The pairs (a, b: doc ids) whose whole texts link."""
-    text = lambda to, name: docs.select(F.col("doc_id").alias(to), text_or_empty().alias(name))
+    few = narrowed(docs, pairs.select("a").union(pairs.select("b")))
+    text = lambda to, name: few.select(F.col("doc_id").alias(to), text_or_empty().alias(name))
     both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verified(k, pct), "a long, b long")
 
@@ -277,28 +360,35 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     shared_levels = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     nodes = stored(docs.mapInArrow(lambda it: _index(k, pct, shared_levels.value)(it), _NODES), "ngram-nodes")
-    sets = nodes.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("vec").alias("vec"))
+    sets = nodes.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("vec").alias("vec"), F.max("n").alias("n"))
     sets = stored(sets, "ngram-sets")
     rows = nodes.filter("doc_id is not null").select(F.explode("prefix").alias("h"), "n", "s1")
     met = stored(rows.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(_meet(pct), _MEET), "ngram-met")
 
     rep = lambda c: sets.select(F.col("s1").alias(f"s_{c}"), F.col("rep").alias(c))
     named = lambda p: p.select(F.col("a").alias("s_a"), F.col("b").alias("s_b")).join(rep("a"), "s_a").join(rep("b"), "s_b").select("a", "b")
-    chain = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("times"))
-    tree = chain.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
-    first = stored(verified(stored(named(tree), "ngram-tree"), docs, k, pct), "ngram-first")
-    cluster = components(first)
-
-    labels = sets.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "vec", F.coalesce("component", "rep").alias("c"))
-    labels = stored(labels, "ngram-labels")
-    open_rows = met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n").join(labels.select("s1", "c"), "s1")
-    open_rows = stored(open_rows.select("h", "n", "s1", "c"), "ngram-open")
-    split = open_rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    split = stored(split, "ngram-split")
-    here = open_rows.join(split, "h", "left_semi").join(labels.select("s1", "vec"), "s1").select("h", "n", "s1", "c", "vec")
-    left = here.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(_tree_pairs(pct), "a long, b long").distinct()
-    second = verified(stored(named(left), "ngram-left"), docs, k, pct)
-    linked = components(first.unionByName(second))
+    def often(met_pairs):  # partners that met at few shingles wait for the tree
+        times = met_pairs.groupBy("a", "b").agg(F.sum("n").alias("times"))
+        return named(times.join(sets.select(F.col("s1").alias("b"), "n"), "b").filter(F.col("times") * 20 >= F.col("n")))
+
+    def labelled(links):
+        cluster = components(links)
+        out = sets.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "vec", F.coalesce("component", "rep").alias("c"))
+        return stored(out, "ngram-labels")
+
+    def still_open(rows, labels):
+        """Rows of shingles at which different clusters meet."""
+        rows = stored(rows.select("h", "n", "s1").join(labels.select("s1", "c"), "s1").select("h", "n", "s1", "c"), "ngram-open")
+        split = stored(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h"), "ngram-split")
+        return rows.join(split, "h", "left_semi")
+
+    links = stored(verified(stored(often(met.filter("kind = 0")), "ngram-pivots"), docs, k, pct), "ngram-first")
+    labels = labelled(links)
+    open_rows = still_open(met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n"), labels)
+    here = open_rows.join(labels.select("s1", "vec"), "s1").select("h", "n", "s1", "c", "vec")
+    left = here.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(_tree_pairs(pct), "a long, b long, n_a int, n_b int, times int")
+    left = left.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times")).filter(_met_enough(pct))
+    linked = components(links.unionByName(verified(stored(named(left), "ngram-left"), docs, k, pct)))
 
     final = sets.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     final = stored(final, "ngram-final")
