@@ -8,7 +8,8 @@
 3. Sets that meet at a shingle are first compared with a few pivots of their size
    there, if they meet those often. Verified links give clusters.
 4. What is left are shingles at which different clusters meet. There the count
-   vectors go in an R-tree; pairs of nodes whose summed coordinate minima can't
+   vectors go in an R-tree, at first to link each set with its nearest partner of
+   another cluster, then for all pairs that are left; pairs of nodes whose summed coordinate minima can't
    reach the overlap are cut, and so are pairs that met at too few shingles. The
    pairs that survive are verified on their whole texts.
 """
@@ -173,6 +174,15 @@ def _meet(pct: int):
     return run
 
 
+def _bounded(i, j, n, v, pct: int):
+    """The index pairs whose sizes and summed minima allow the overlap, and those sums."""
+    near = (n[i] * 100 >= n[j] * pct) & (n[j] * 100 >= n[i] * pct)
+    i, j = i[near], j[near]
+    bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(v[i[s : s + 65536]], v[j[s : s + 65536]]).sum(axis=1, dtype=np.int64) for s in range(0, len(i), 65536))])
+    ok = bound * (100 + pct) >= (n[i] + n[j]) * pct
+    return i[ok], j[ok], bound[ok]
+
+
 class RTree:
     """Packed R-tree over count vectors: leaves of LEAF points in order of size, boxes by their upper corner."""
 
@@ -199,7 +209,7 @@ class RTree:
         return ok
 
     def pairs(self, pct: int, differ: np.ndarray):
-        """Index pairs i < j with different labels whose vectors allow the overlap, in blocks."""
+        """Index pairs i < j with different labels whose vectors allow the overlap, and their bounds, in blocks."""
         depth = len(self.levels) - 1
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
         while True:
@@ -213,9 +223,7 @@ class RTree:
         for s in range(0, len(i), 512):
             a, b = self._children(i[s : s + 512], j[s : s + 512], len(self.n))
             live = (a != b) & (differ[a] != differ[b])
-            a, b = a[live], b[live]
-            ok = self._may_link((self.vec[a], self.n[a], self.n[a]), (self.vec[b], self.n[b], self.n[b]), pct)
-            yield a[ok], b[ok]
+            yield _bounded(a[live], b[live], self.n, self.vec, pct)
 
     @staticmethod
     def _children(i, j, n):
@@ -235,8 +243,8 @@ def _vectors(column: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(v, f"u{len(v) // GROUPS}") for v in column], f"u{width}")
 
 
-def _tree_pairs(pct: int):
-    """(a, b, n_a, n_b, times) from rows (h, n, s1, c, vec) sorted so: pairs of different clusters that the tree lets through, and at how many shingles they met."""
+def _tree_pairs(pct: int, pick):
+    """(a, b, n_a, n_b, times) from rows (h, n, s1, c, vec) sorted so: pairs of different clusters that pick lets through, and at how many shingles they met."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("times", pa.int32())])
 
     def run(batches):
@@ -248,7 +256,7 @@ def _tree_pairs(pct: int):
 
         def ended(h, n, s, c, v):
             nonlocal found, size
-            for i, j in _pairs_by_shingle(h, n, c, v, pct):
+            for i, j, _ in pick(h, n, c, v, pct):
                 i, j = np.where(s[i] < s[j], i, j), np.where(s[i] < s[j], j, i)
                 found.append(np.rec.fromarrays([s[i], s[j], n[i], n[j]], names="a,b,n_a,n_b"))
                 size += len(i)
@@ -284,17 +292,27 @@ def _pairs_by_shingle(h, n, c, v, pct):
             for s in at:
                 tree, label = RTree(v[s : s + m], n[s : s + m]), c[s : s + m]
                 if (label != label[0]).any():
-                    for i, j in tree.pairs(pct, label):
-                        yield i + s, j + s
+                    for i, j, bound in tree.pairs(pct, label):
+                        yield i + s, j + s, bound
             continue
         left, right = np.triu_indices(m, 1)
         for k in range(0, len(at), max(1, (1 << 16) // len(left))):
             first = at[k : k + max(1, (1 << 16) // len(left)), None]
             i, j = (first + left).reshape(-1), (first + right).reshape(-1)
-            live = (c[i] != c[j]) & (n[i] * 100 >= n[j] * pct) & (n[j] * 100 >= n[i] * pct)
-            i, j = i[live], j[live]
-            ok = np.minimum(v[i], v[j]).sum(axis=1, dtype=np.int64) * (100 + pct) >= (n[i] + n[j]) * pct
-            yield i[ok], j[ok]
+            live = c[i] != c[j]
+            yield _bounded(i[live], j[live], n, v, pct)
+
+
+def _nearest(h, n, c, v, pct):
+    """For each row the partner of another cluster with the largest bound at that shingle, once per pair."""
+    best, partner = np.zeros(len(h), np.int64), np.full(len(h), -1)
+    for i, j, bound in _pairs_by_shingle(h, n, c, v, pct):
+        i, j, bound = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(bound, 2)
+        order = np.argsort(bound, kind="stable")
+        order = order[bound[order] > best[i[order]]]
+        best[i[order]], partner[i[order]] = bound[order], j[order]
+    i = np.flatnonzero(partner >= 0)
+    yield i, partner[i], best[i]
 
 
 def _met_enough(pct: int):
@@ -383,11 +401,18 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
         return rows.join(split, "h", "left_semi")
 
     links = stored(verified(stored(often(met.filter("kind = 0")), "ngram-pivots"), docs, k, pct), "ngram-first")
-    labels = labelled(links)
-    open_rows = still_open(met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n"), labels)
-    here = open_rows.join(labels.select("s1", "vec"), "s1").select("h", "n", "s1", "c", "vec")
-    left = here.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(_tree_pairs(pct), "a long, b long, n_a int, n_b int, times int")
-    left = left.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times")).filter(_met_enough(pct))
+    def by_tree(rows, pick):
+        """Pairs of different clusters from the trees at the open shingles."""
+        labels = labelled(links)
+        rows = still_open(rows, labels).join(labels.select("s1", "vec"), "s1").select("h", "n", "s1", "c", "vec")
+        rows = rows.repartition("h").sortWithinPartitions("h", "n", "s1")
+        pairs = rows.mapInArrow(_tree_pairs(pct, pick), "a long, b long, n_a int, n_b int, times int")
+        return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times"))
+
+    open_rows = met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n")
+    # nearest partners first: large groups of near copies are one cluster before all their pairs are asked for
+    links = stored(links.unionByName(verified(stored(named(by_tree(open_rows, _nearest)), "ngram-nearest"), docs, k, pct)), "ngram-second")
+    left = by_tree(open_rows, _pairs_by_shingle).filter(_met_enough(pct))
     linked = components(links.unionByName(verified(stored(named(left), "ngram-left"), docs, k, pct)))
 
     final = sets.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
