@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageloom.llm import line_dedup, ngram_join, token_counts, token_output
+from pageloom.llm import decontamination, licenses, line_dedup, mixing, ngram_join, token_counts, token_output
 from pageloom.llm.common import table
 
 QUERIES: dict = {}
@@ -50,3 +50,58 @@ def op4_token_output(spark, d):
 @query()
 def op6_ngram_join(spark, d):
     return ngram_join.ngram_groups(table(spark, d, "documents"))
+
+
+@query()
+def op7_decontamination(spark, d):
+    return decontamination.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_P = f"{mixing.PERIOD}"
+MIX_SQL = f"""WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
+sizes AS (SELECT source, count(*) AS n, CAST(ceil(count(*) / {mixing.BLOCK_DOCS}) AS BIGINT) AS blocks FROM docs GROUP BY 1),
+quota AS (SELECT source, n, blocks, pow(n::DOUBLE, {mixing.ALPHA}) / sum(pow(n::DOUBLE, {mixing.ALPHA})) OVER () * ({_P} - count(*) OVER ()) AS q FROM sizes),
+ranked AS (SELECT *, row_number() OVER (ORDER BY floor(q) - round(q, 9), source) AS r, {_P} - sum(floor(q) + 1) OVER () AS spare FROM quota),
+weights AS (SELECT source, blocks, CAST(floor(q) + 1 + CASE WHEN r <= spare THEN 1 ELSE 0 END AS BIGINT) AS share, row_number() OVER (ORDER BY source) AS i FROM ranked),
+w AS (SELECT list(share ORDER BY i) AS shares FROM weights),
+pick AS (SELECT 0 AS t, shares, list_transform(shares, lambda x: 0::BIGINT) AS done, 0::BIGINT AS p FROM w
+ UNION ALL SELECT t + 1, shares, list_transform(done, lambda x, j: CASE WHEN j = c THEN x + 1 ELSE x END), c FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(shares) + 1),
+  lambda j: done[j] < shares[j] AND floor(done[j] * {_P} / shares[j]) <= t), lambda j: struct_pack(deadline := CAST(ceil((done[j] + 1) * {_P} / shares[j]) AS BIGINT), j := j))).j AS c FROM pick WHERE t < {_P})),
+slots AS (SELECT t - 1 AS slot, source, share, blocks, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS k FROM pick JOIN weights ON i = p WHERE t > 0),
+fin AS (SELECT max(CAST((blocks - 1) // share AS BIGINT) * {_P} + slot) AS fin FROM slots WHERE (blocks - 1) % share = k),
+drawn AS (SELECT source, any_value(blocks) AS blocks, any_value(share) AS share, sum(CASE WHEN slot <= fin THEN (fin - slot) // {_P} + 1 ELSE 0 END)::BIGINT AS draws FROM slots, fin GROUP BY 1),
+placed AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM docs),
+blocked AS (SELECT p.*, place // {mixing.BLOCK_DOCS} AS block, blocks, share, draws FROM placed p JOIN drawn USING (source)),
+turns AS (SELECT *, unnest(range(0, CAST(ceil((draws - block) / blocks) AS BIGINT))) AS epoch FROM blocked)
+SELECT doc_id, t.source, place, block, epoch, ((epoch * t.blocks + block) // t.share) * {_P} + slot AS slot FROM turns t JOIN slots s ON s.source = t.source AND s.k = (epoch * t.blocks + block) % t.share"""
+
+
+@query(MIX_SQL)
+def op10_mixing(spark, d):
+    return mixing.schedule(table(spark, d, "documents").select("doc_id", "source"))
+
+
+_T = " UNION ALL ".join(f"SELECT '{k}' AS licence, '{v}' AS wording" for k, v in licenses.TEMPLATES.items())
+
+
+@query(
+    f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(list_concat([coalesce(source, '')], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: left(CAST(doc_id AS VARCHAR), i))), '/') AS path FROM documents),
+heads AS (SELECT doc_id, path, trim(unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.SIGNS}'))), ' ') AS line FROM docs),
+lines AS (SELECT line, count(*) AS n FROM heads GROUP BY 1), total AS (SELECT sum(n)::DOUBLE AS total FROM lines),
+tf AS (SELECT line, term, count(*) AS tf, any_value(n) AS n FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines) GROUP BY 1, 2),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1), t AS ({_T}),
+words AS (SELECT licence, term, count(*) * (1 + ln((1.0 + total) / (1 + coalesce(any_value(df), 0)))) AS wt FROM (SELECT licence, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS term FROM t) LEFT JOIN df USING (term), total GROUP BY licence, term, total),
+weighed AS (SELECT line, term, tf * (1 + ln((1.0 + total) / (1 + df))) AS wl FROM tf JOIN df USING (term), total),
+scored AS (SELECT line, licence, round(dot / (nl * nt), 6) AS cosine FROM (SELECT line, licence, sum(wl * wt) AS dot FROM weighed JOIN words USING (term) GROUP BY 1, 2)
+ JOIN (SELECT line, sqrt(sum(wl * wl)) AS nl FROM weighed GROUP BY 1) USING (line) JOIN (SELECT licence, sqrt(sum(wt * wt)) AS nt FROM words GROUP BY 1) USING (licence)),
+found AS (SELECT * FROM scored WHERE cosine >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1),
+own AS (SELECT doc_id, path, licence, cosine FROM heads JOIN found USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, licence) = 1),
+ruled AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence, cosine FROM own QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
+up AS (SELECT d.doc_id, d.path, array_to_string(list_slice(s, 1, i), '/') AS dir FROM (SELECT doc_id, path, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')))) AS i FROM docs) d),
+near AS (SELECT doc_id, path, dir, licence, cosine FROM up JOIN ruled USING (dir) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) = 1)
+SELECT d.doc_id, d.path, coalesce(o.licence, n.licence) AS licence, coalesce(o.cosine, n.cosine) AS cosine, CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+ CASE WHEN o.licence IS NULL THEN n.dir END AS from_dir FROM docs d LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN near n ON n.doc_id = d.doc_id"""
+)
+def op1_license_scan(spark, d):
+    docs = table(spark, d, "documents")
+    return licenses.licences(docs.select("doc_id", licenses.digit_path(F.col("source"), F.col("doc_id")).alias("path"), "text"))
