@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, licenses, line_dedup, mixing, ngram_join, token_counts, token_output
+from pageloom.llm import cover_tree, decontamination, licenses, line_dedup, mixing, ngram_join, token_counts, token_output, toxicity
 from pageloom.llm.common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,15 @@ SELECT d.doc_id, d.path, coalesce(o.licence, n.licence) AS licence, coalesce(o.c
 def op1_license_scan(spark, d):
     docs = table(spark, d, "documents")
     return licenses.licences(docs.select("doc_id", licenses.digit_path(F.col("source"), F.col("doc_id")).alias("path"), "text"))
+
+
+@query()
+def op5_embedding_dedup(spark, d):
+    return cover_tree.near_vectors(table(spark, d, "embeddings").select("vec_id", "label", "embedding"))
+
+
+@query()
+def op9_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, d, "labels"), ["quality", "toxic"])
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
