@@ -65,18 +65,19 @@ def ranked(docs: DataFrame) -> DataFrame:
     return rows.withColumn("place", (F.col("_before") + F.col("_local")).cast("long")).drop("_range", "_local", "_before")
 
 
-def schedule(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS, alpha: float = ALPHA) -> DataFrame:
+def schedule(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS, alpha: float = ALPHA, carry: bool = False) -> DataFrame:
     """doc_id, source, place, block, epoch, slot for every time that a document is drawn.
 
     Blocks of block_docs documents of a source, by doc_id, run in its slots. The mix ends with the slot in which the last
     source has run all its blocks once; sources done earlier start over (epoch 1, 2 ...), so every row is in the mix and
     each source's count of slots stays within one block of its weight. A null source is a source named ''. Rows without
     doc_id come first in their source; repeated rows are rows of their own. docs may have a column _tie that orders rows
-    of one doc_id.
+    of one doc_id. With carry, row holds all columns of docs.
     """
+    whole = F.struct(*docs.columns).alias("row") if carry else None
     if "_tie" not in docs.columns:
         docs = docs.withColumn("_tie", F.lit(0))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("source"), "_tie")
+    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("source"), "_tie", *([whole] if carry else []))
     sizes = stored(docs.groupBy("source").agg(F.count("*").alias("n")), "mix-sizes")
     weights = target_weights(sizes, period, alpha)
     plan = period_schedule(weights, period)
@@ -96,4 +97,4 @@ def schedule(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS
     turn = F.col("epoch") * F.col("blocks") + F.col("block")
     rows = rows.withColumn("k", turn % F.col("share")).withColumn("cycle", F.floor(turn / F.col("share")))
     rows = rows.join(F.broadcast(plan.select("source", "k", "slot")), ["source", "k"])
-    return rows.select(F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "source", "place", "block", "epoch", (F.col("cycle") * period + F.col("slot")).alias("slot"))
+    return rows.select(F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "source", "place", "block", "epoch", (F.col("cycle") * period + F.col("slot")).alias("slot"), *(["row"] if carry else []))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageloom.llm import cover_tree, decontamination, licenses, line_dedup, mixing, ngram_join, token_counts, token_output, toxicity
+from pageloom.llm import cover_tree, decontamination, html_extract, licenses, line_dedup, mixing, ngram_join, token_counts, token_output, toxicity
 from pageloom.llm.common import table
 
 QUERIES: dict = {}
@@ -117,3 +117,9 @@ def op9_toxicity(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, d, "labels"), ["quality", "toxic"])
     return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@query()
+def op8_html_extraction(spark, d):
+    out = html_extract.extract(table(spark, d, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -165,3 +165,19 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield to_batch(schema, [b.column(0).slice(s, e - s), *model.predict(model.matrix(keys, rows, e - s))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def without(docs: DataFrame, chain: Chain, category: str, threshold: float = 0.5) -> DataFrame:
+    """Rows of docs, all columns, whose probability of the category is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at, text = chain.categories.index(category), docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            for s, e in slices(b.column(text)):
+                keys, rows, _ = features(b.column(text).slice(s, e - s))
+                p = model.predict(model.matrix(keys, rows, e - s))[at]
+                yield b.slice(s, e - s).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
