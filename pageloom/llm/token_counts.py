@@ -19,7 +19,7 @@ CACHE = "digest binary, tokenizer string, n_tokens long"
 def _counter(path: str):
     def run(batches):
         schema = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
-        counter = tokenizing.Counter(path)
+        counter = tokenizing.counter(path)
         for b in batches:
             text = b.column(1)
             for s, e in slices(text):

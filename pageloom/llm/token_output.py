@@ -23,7 +23,7 @@ def _writer(tokenizer: str, end_id: int, chunk_ids: int):
 
     def run(batches):
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        encoder = tokenizing.Encoder(tokenizer)
+        encoder = tokenizing.encoder(tokenizer)
         docs, held, size = [], [], 0
 
         def chunk():

@@ -1,18 +1,23 @@
 """Encoding with a tokenizers file by pieces that are known to encode alone.
 
 A word between spaces that recurs is encoded once per worker; the pieces of a text
-are chosen so that the file's own pre-tokenizer always cuts there.
+are chosen so that the file's own pre-tokenizer always cuts there. Letters with one
+mark after them are two such pieces, so the mark is encoded once and for all.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import os
+import unicodedata
+from array import array
 
-import numpy as np
-
-#: Pieces a worker remembers; it forgets all at that number, so memory is bounded and results don't change.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers, as they stand and without their last mark. It forgets all at that number, so memory
+#: is bounded and results don't change.
+REMEMBERED, BASES = 400_000, 700_000
+MARKS = frozenset(".,;:!?")
 
 
 def load(path: str):
@@ -30,6 +35,61 @@ def version_of(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def as_bytes(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+class _Pieces:
+    """Values of words, made from the values of their bases and marks.
+
+    word(lead, base) gives that of a base of Latin letters, which the pre-tokenizer never cuts; encode(strings, length of
+    the lead) gives those of any others.
+    """
+
+    def __init__(self, encode, word, lead: str):
+        self.encode, self.word, self.lead, self.known, self.bases = encode, word, lead, {}, {}
+        self.marks = dict(zip(sorted(MARKS), encode(sorted(MARKS), 0), strict=True))
+
+    def of(self, words: set[str]) -> dict:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = words - self.known.keys()
+        if new:
+            if len(self.bases) > BASES:
+                self.bases.clear()
+            self._learn(new)
+        return self.known
+
+    def _learn(self, new: set[str]) -> None:
+        bases, known, marks, word, lead, rest = self.bases, self.known, self.marks, self.word, self.lead, []
+        was = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the collector would walk what is remembered
+        try:
+            for w in new:
+                mark = w[-1:]
+                b = w[:-1] if mark in marks else w
+                if b not in bases:
+                    if not (b.isalpha() and max(b) < "\u0250"):
+                        rest.append(w)
+                        continue
+                    bases[b] = word(lead, b)
+                known[w] = bases[b] + marks[mark] if mark in marks else bases[b]
+            known.update(zip(rest, self.encode([lead + w for w in rest], len(lead)), strict=True))
+        finally:
+            if was:
+                gc.enable()
+
+
 class Counter:
     """Token counts of texts by a byte-level BPE file.
 
@@ -40,50 +100,56 @@ class Counter:
     WHOLE = -(1 << 40)
 
     def __init__(self, path: str):
-        self.tok, self.first, self.next = load(path), {}, {}
-
-    def _learn(self, known: dict, words: set[str], lead: str) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
-        todo = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = self.WHOLE
-            else:
-                todo.append(w)
-        for w, e in zip(todo, self.tok.encode_batch_fast([lead + w for w in todo], add_special_tokens=False), strict=True):
-            known[w] = len(e)
+        self.tok = load(path)
+        self.model = self.tok.model
+        self.first, self.next = _Pieces(self._lengths, self._length, ""), _Pieces(self._lengths, self._length, " ")
+
+    def _length(self, lead: str, word: str) -> int:
+        return len(self.model.tokenize(("\u0120" if lead else "") + as_bytes(word)))
+
+    def _lengths(self, pieces: list[str], lead: int) -> list[int]:
+        found = [len(e) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [self.WHOLE if len(p) == lead or p[lead].isspace() or p[-1].isspace() else n for p, n in zip(pieces, found, strict=True)]
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [t.split(" ") for t in texts]
-        heads, tails = {p[0] for p in parts}, set().union(*(p[1:] for p in parts))
-        if new := heads - self.first.keys():
-            self._learn(self.first, new, "")
-        if new := tails - self.next.keys():
-            self._learn(self.next, new, " ")
-        if len(self.first) > REMEMBERED or len(self.next) > REMEMBERED:
-            for known, words, lead in ((self.first, heads, ""), (self.next, tails, " ")):
-                if missing := words - known.keys():
-                    self._learn(known, missing, lead)
+        first = self.first.of({p[0] for p in parts})
+        rest = self.next.of(set().union(*(p[1:] for p in parts)))
         out = []
         for t, p in zip(texts, parts, strict=True):
-            n = self.first[p[0]] + sum(map(self.next.__getitem__, p[1:]))
+            n = first[p[0]] + sum(map(rest.__getitem__, p[1:]))
             out.append(n if n >= 0 else len(self.tok.encode(t, add_special_tokens=False)) if t else 0)
         return out
 
 
 class Encoder:
-    """Token ids of texts, as little-endian uint32 bytes, by a file whose pre-tokenizer drops all white space."""
+    """Token ids of texts, as little-endian uint32 bytes, by a file that lower-cases and whose pre-tokenizer drops all white space."""
 
     def __init__(self, path: str):
-        self.tok, self.known = load(path), {}
+        self.tok = load(path)
+        self.model = self.tok.model
+        self.pieces = _Pieces(self._ids, self._word, "")
+
+    def _word(self, lead: str, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(as_bytes(unicodedata.normalize("NFC", word)))]).tobytes()
+
+    def _ids(self, words: list[str], lead: int) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*parts)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(words - self.known.keys())
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        # the two letters that str.lower and the file's lower-casing treat differently keep their case here
+        low = [t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts]
+        parts = [t.replace("\n", " ").split(" ") for t in low]
+        known = self.pieces.of(set().union(*parts))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+
+@functools.lru_cache(2)
+def counter(path: str) -> Counter:
+    """The worker's own; it lives on from task to task."""
+    return Counter(path)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
