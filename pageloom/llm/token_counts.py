@@ -22,7 +22,7 @@ def _counter(path: str):
         counter = tokenizing.counter(path)
         for b in batches:
             text = b.column(1)
-            for s, e in slices(text):
+            for s, e in slices(text, 1 << 22):
                 yield to_batch(schema, [b.column(0).slice(s, e - s), pa.array(counter.count(text.slice(s, e - s).to_pylist()), pa.int64())])
 
     return run

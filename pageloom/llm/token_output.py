@@ -32,7 +32,7 @@ def _writer(tokenizer: str, end_id: int, chunk_ids: int):
 
         for b in batches:
             text = b.column(1)
-            for s, e in slices(text):
+            for s, e in slices(text, 1 << 22):
                 for doc, ids in zip(b.column(0).slice(s, e - s).to_pylist(), encoder.encode(text.slice(s, e - s).to_pylist()), strict=True):
                     docs.append(doc)
                     held.append(ids + end)
