@@ -17,19 +17,19 @@ from pageloom.llm.common import slices, text_or_empty, to_batch
 from pageloom.llm.wordhash import LETTERS, TABLE, _grown, column_bytes, hash_words, mix
 
 #: Labelled rows used for fitting (by hash of doc_id), features kept per category, folds.
-MAX_LABELLED, PER_CATEGORY, FOLDS, STARTS = 6000, 100, 5, (4, 5, 6, 7, 8)
+MAX_LABELLED, PER_CATEGORY, FOLDS, STARTS = 4000, 100, 5, (4, 5, 6, 7, 8)
 _SLOTS = 1 << 20
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word and of its first 4 to 8 bytes, the row of each, and the number of words by row."""
+    """32-bit hashes of each word and of its first 4 to 8 bytes, the row of each, and the number of words by row."""
     low = pc.utf8_lower(pc.fill_null(column, ""))
     words, bounds = hash_words(low, LETTERS)
     b, o = column_bytes(low)
     n_words = np.diff(bounds)
     row = np.repeat(np.arange(len(column)), n_words)
     if not len(words):
-        return words, row, n_words
+        return words.astype(np.uint32), row, n_words
     inside = LETTERS[b]
     edge = np.zeros(len(b) + 1, bool)
     edge[o] = True
@@ -45,7 +45,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = s[long]
         keys.append(mix((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k)))
         rows.append(row[long])
-    return np.concatenate(keys), np.concatenate(rows), n_words
+    return np.concatenate(keys).astype(np.uint32), np.concatenate(rows), n_words
 
 
 def _distinct(batches):
@@ -86,11 +86,11 @@ class Chain:
     def __init__(self, vocabulary: np.ndarray, categories: list[str], weights: list[np.ndarray]):
         self.vocabulary, self.categories, self.weights = vocabulary, categories, weights
         self.filter = np.zeros(_SLOTS, bool)
-        self.filter[(vocabulary & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+        self.filter[(vocabulary & np.uint32(_SLOTS - 1)).astype(np.int64)] = True
 
     def matrix(self, keys: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
         """Presence of each vocabulary feature by row."""
-        near = self.filter[(keys & np.uint64(_SLOTS - 1)).astype(np.int64)]
+        near = self.filter[(keys & np.uint32(_SLOTS - 1)).astype(np.int64)]
         keys, rows = keys[near], rows[near]
         at = np.searchsorted(self.vocabulary, keys)
         ok = at < len(self.vocabulary)
@@ -110,8 +110,8 @@ def fit(labelled: list[tuple[int, bytes, list[int]]], categories: list[str], per
     """A chain from rows of id, distinct feature hashes and 0/1 labels. No rows give a chain that says no to all."""
     labelled = sorted(labelled, key=lambda r: r[0])
     y = np.array([r[2] for r in labelled], float).reshape(len(labelled), len(categories))
-    sets = [np.frombuffer(r[1], np.uint64) for r in labelled]
-    keys = np.concatenate([np.zeros(0, np.uint64), *sets])
+    sets = [np.frombuffer(r[1], np.uint32) for r in labelled]
+    keys = np.concatenate([np.zeros(0, np.uint32), *sets])
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     vocabulary, at = np.unique(keys, return_inverse=True)
     n = len(labelled)
