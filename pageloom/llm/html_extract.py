@@ -348,7 +348,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     def run(batches):
         net = shared.value
         for b in batches:
-            for s, e in slices(b.column(2), 1 << 22):
+            for s, e in slices(b.column(2), 1 << 21):
                 texts = main_text([p or "" for p in b.column(2).slice(s, e - s).to_pylist()], net)
                 yield to_batch(schema, [b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), pa.array(texts, pa.string())])
 

@@ -16,7 +16,7 @@ from array import array
 
 #: Pieces that a worker remembers, as they stand and without their last mark. It forgets all at that number, so memory
 #: is bounded and results don't change.
-REMEMBERED, BASES = 400_000, 700_000
+REMEMBERED, BASES = 200_000, 300_000
 MARKS = frozenset(".,;:!?")
 
 

@@ -27,7 +27,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _grown(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        m = max(n, 1 << 21)
+        m = max(n, 1 << 20)
         for k, b in enumerate((_BASE, _INVERSE)):
             steps = np.full(m, b)
             steps[0] = 1
