@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import stored, to_batch
+from pageloom.llm.common import stored, tidy, to_batch
 
 #: Links that one task may hold.
 LOCAL_LINKS = 250_000
@@ -66,13 +66,13 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     n = links.count()
     parts = -(-n // local_links)
     if parts <= 1:
-        return stored(links.repartition(1).mapInArrow(_local, "node long, component long"), "components")
-    trees = links.repartition(parts).mapInArrow(_local, "node long, component long").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return stored(links.repartition(1).mapInArrow(tidy(_local), "node long, component long"), "components")
+    trees = links.repartition(parts).mapInArrow(tidy(_local), "node long, component long").select(F.col("component").alias("a"), F.col("node").alias("b"))
     links, before = stored(trees.filter("a < b").distinct(), "trees"), None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now[0] <= local_links:
-            found = stored(links.repartition(1).mapInArrow(_local, "node long, component long"), "components")
+            found = stored(links.repartition(1).mapInArrow(tidy(_local), "node long, component long"), "components")
             break
         if now == before:
             found = links.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import stored, to_batch
+from pageloom.llm.common import stored, tidy, to_batch
 from pageloom.llm.components import components, forest
 
 LEAF, PIVOTS, SMALL, SLACK = 2048, 32, 64, 1e-7
@@ -144,7 +144,7 @@ def tree_nodes(points: DataFrame, leaf: int, eps: float) -> tuple[DataFrame, lis
         spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         salted = points.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
         split = salted.join(spread, ["node", "salt"], "left").select("vec_id", "label", "node", "n", "embedding", "pivots")
-        split = stored(split.mapInArrow(_split(eps), "vec_id long, label long, node string, n long, embedding array<float>, radius double, centre array<double>"), "cover-level")
+        split = stored(split.mapInArrow(tidy(_split(eps)), "vec_id long, label long, node string, n long, embedding array<float>, radius double, centre array<double>"), "cover-level")
         kids = split.filter("radius is not null").groupBy("node").agg(F.max("radius").alias("radius"), F.first("centre").alias("centre"))
         levels.append(stored(kids.withColumn("parent", F.regexp_replace("node", r"\.[0-9]+$", "")), "cover-nodes"))
         points = split.drop("radius", "centre")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, text_or_empty, to_batch
+from pageloom.llm.common import slices, text_or_empty, tidy, to_batch
 from pageloom.llm.wordhash import LETTERS, grams, hash_words
 
 MIN_RUN, COVERAGE, BLOCK_BYTES = 5, 0.5, 16 << 20
@@ -151,6 +151,6 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = MIN_RUN, coverage: float =
     for n in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         seeds = spark.sparkContext.broadcast(Seeds([tuple(r) for r in part.collect()], k))
-        found = docs.mapInArrow(_scan(seeds, k, coverage), _OUT)
+        found = docs.mapInArrow(tidy(_scan(seeds, k, coverage)), _OUT)
         out = found if out is None else out.unionByName(found)
     return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, to_batch
+from pageloom.llm.common import slices, tidy, to_batch
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|select|svg|iframe|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z""", re.S | re.I)
 ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -353,4 +353,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 yield to_batch(schema, [b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), pa.array(texts, pa.string())])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(column).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import stored, text_or_empty, to_batch
+from pageloom.llm.common import stored, text_or_empty, tidy, to_batch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 10
@@ -80,12 +80,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     keys = line_keys(docs, min_chars)
     order = ["k1", "k2", "doc_id", "pos"]
-    marks = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream, _MARKS), "line-marks")
+    marks = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_stream), _MARKS), "line-marks")
     # two rows a range partition at most, so their number is that of the partitions
     ends = marks.filter(F.col("kind") == _SUMMARY).groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
     late = marks.filter(F.col("kind") == _OPEN).join(F.broadcast(ends), ["k1", "k2"]).filter("doc_id > first")
     dropped = marks.filter(F.col("kind") == _DROPPED).select("doc_id", "version", "pos").unionByName(late.select("doc_id", "version", "pos"))
-    return dropped.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("p")).mapInArrow(_to_bitmaps, "doc_id long, version long, keep binary")
+    return dropped.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("p")).mapInArrow(tidy(_to_bitmaps), "doc_id long, version long, keep binary")
 
 
 def kept_lines(text: str, keep: bytes | None) -> tuple[list[str], int]:
@@ -111,7 +111,7 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         for b in batches:
             yield to_batch(schema, [b.column(0), pa.array(["\n".join(kept_lines(t.as_py(), k.as_py())[0]) for t, k in zip(b.column(1), b.column(2), strict=True)], pa.string())])
 
-    return with_keep(docs, bitmaps).mapInArrow(run, "doc_id long, text string")
+    return with_keep(docs, bitmaps).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -130,4 +130,4 @@ def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 rows.append((n, n - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
             yield to_batch(schema, [b.column(0), *(list(x) for x in zip(*rows, strict=True))] if rows else [b.column(0), [], [], []])
 
-    return with_keep(docs, bitmaps).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_keep(docs, bitmaps).mapInArrow(tidy(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, stored, text_or_empty, to_batch
+from pageloom.llm.common import slices, stored, text_or_empty, tidy, to_batch
 from pageloom.llm.components import components
 from pageloom.llm.wordhash import mix, shingle_sets
 
@@ -70,7 +70,7 @@ def _add(_key, pdf):
 
 def common_levels(texts: DataFrame, k: int) -> np.ndarray:
     """How common the shingles of each sketch cell are, as bits of their count, over all texts. Fixed size."""
-    cells = texts.mapInArrow(_sketch(k), "seg int, counts binary").groupBy("seg").applyInPandas(_add, "seg int, counts binary")
+    cells = texts.mapInArrow(tidy(_sketch(k)), "seg int, counts binary").groupBy("seg").applyInPandas(_add, "seg int, counts binary")
     rows = sorted((r.seg, r.counts) for r in cells.collect())
     if not rows:
         return np.zeros(SKETCH, np.uint8)
@@ -363,7 +363,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
     few = narrowed(docs, pairs.select("a").union(pairs.select("b")))
     text = lambda to, name: few.select(F.col("doc_id").alias(to), text_or_empty().alias(name))
     both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_verified(k, pct), "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(_verified(k, pct)), "a long, b long")
 
 
 def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
@@ -377,11 +377,11 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
     levels = common_levels(docs.select("text"), k)
     shared_levels = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
-    nodes = stored(docs.mapInArrow(lambda it: _index(k, pct, shared_levels.value)(it), _NODES), "ngram-nodes")
+    nodes = stored(docs.mapInArrow(tidy(lambda it: _index(k, pct, shared_levels.value)(it)), _NODES), "ngram-nodes")
     sets = nodes.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("vec").alias("vec"), F.max("n").alias("n"))
     sets = stored(sets, "ngram-sets")
     rows = nodes.filter("doc_id is not null").select(F.explode("prefix").alias("h"), "n", "s1")
-    met = stored(rows.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(_meet(pct), _MEET), "ngram-met")
+    met = stored(rows.repartition("h").sortWithinPartitions("h", "n", "s1").mapInArrow(tidy(_meet(pct)), _MEET), "ngram-met")
 
     rep = lambda c: sets.select(F.col("s1").alias(f"s_{c}"), F.col("rep").alias(c))
     named = lambda p: p.select(F.col("a").alias("s_a"), F.col("b").alias("s_b")).join(rep("a"), "s_a").join(rep("b"), "s_b").select("a", "b")
@@ -406,7 +406,7 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
         labels = labelled(links)
         rows = still_open(rows, labels).join(labels.select("s1", "vec"), "s1").select("h", "n", "s1", "c", "vec")
         rows = rows.repartition("h").sortWithinPartitions("h", "n", "s1")
-        pairs = rows.mapInArrow(_tree_pairs(pct, pick), "a long, b long, n_a int, n_b int, times int")
+        pairs = rows.mapInArrow(tidy(_tree_pairs(pct, pick)), "a long, b long, n_a int, n_b int, times int")
         return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times"))
 
     open_rows = met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n")

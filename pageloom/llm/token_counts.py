@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import tokenizing
-from pageloom.llm.common import new_path, slices, text_or_empty, to_batch
+from pageloom.llm.common import new_path, slices, text_or_empty, tidy, to_batch
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(content, 256)))
     distinct = keyed.groupBy("_digest").agg(F.first(content).alias("_text"))
     misses = distinct.join(known(), "_digest", "left_anti").select("_digest", "_text")
-    made = misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
+    made = misses.mapInArrow(tidy(_counter(tokenizer)), "digest binary, n_tokens long")
     made.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     rows = keyed.select(*[c for c in docs.columns if c != text], F.octet_length(content).cast("long").alias("n_bytes"), "_digest")
     return rows.join(known(), "_digest").select(*rows.columns[:-1], F.col("_count").alias("n_tokens"))

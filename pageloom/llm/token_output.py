@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import pfor, tokenizing
-from pageloom.llm.common import new_path, slices, text_or_empty, to_batch
+from pageloom.llm.common import new_path, slices, text_or_empty, tidy, to_batch
 
 END_ID, CHUNK_IDS = 1, 1 << 18
 CHUNKS = "part int, seq int, local_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -55,7 +55,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(tokenizer, end_id, chunk_ids), CHUNKS).write.parquet(path)
+    ordered.mapInArrow(tidy(_writer(tokenizer, end_id, chunk_ids)), CHUNKS).write.parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _digests(batches):
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from its decoded ids."""
-    return read_chunks(spark, path).select("doc_ids", "lengths", "payload", "start").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_chunks(spark, path).select("doc_ids", "lengths", "payload", "start").mapInArrow(tidy(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +96,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
                 cut = np.split(pfor.decode(payload).astype(np.int64), np.cumsum(lengths)[:-1])
                 yield to_batch(schema, [pa.array(docs, pa.int64()), pa.array([c.tolist() for c in cut], pa.list_(pa.int64()))])
 
-    return read_chunks(spark, path).select("doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, ids array<long>")
+    return read_chunks(spark, path).select("doc_ids", "lengths", "payload").mapInArrow(tidy(run), "doc_id long, ids array<long>")
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, text_or_empty, to_batch
+from pageloom.llm.common import slices, text_or_empty, tidy, to_batch
 from pageloom.llm.wordhash import LETTERS, TABLE, _grown, column_bytes, hash_words, mix
 
 #: Labelled rows used for fitting (by hash of doc_id), features kept per category, folds.
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelle
     known = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")  # max_labelled rows
-    found = rows.select("doc_id", "text").mapInArrow(_distinct, "doc_id long, keys binary, n_words long").collect()
+    found = rows.select("doc_id", "text").mapInArrow(tidy(_distinct), "doc_id long, keys binary, n_words long").collect()
     targets = {r.doc_id: [int(r[c]) for c in categories] for r in few.collect()}
     return fit([(r.doc_id, bytes(r["keys"]), targets[r.doc_id]) for r in found], categories)
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 keys, rows, _ = features(b.column(1).slice(s, e - s))
                 yield to_batch(schema, [b.column(0).slice(s, e - s), *model.predict(model.matrix(keys, rows, e - s))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def without(docs: DataFrame, chain: Chain, category: str, threshold: float = 0.5) -> DataFrame:
@@ -180,4 +180,4 @@ def without(docs: DataFrame, chain: Chain, category: str, threshold: float = 0.5
                 p = model.predict(model.matrix(keys, rows, e - s))[at]
                 yield b.slice(s, e - s).filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
