@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import stored, tidy, to_batch
 from pageloom.llm.components import components, forest
 
-LEAF, PIVOTS, SMALL, SLACK = 2048, 32, 64, 1e-7
+#: Vectors of a task's node, most children of a node that is split, rows of a leaf, centres tried at once, leaf pairs that go alone.
+LEAF, PIVOTS, SMALL, BLOCK, WIDE, SLACK = 4096, 32, 32, 256, 512, 1e-7
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -40,52 +41,90 @@ def reach(threshold: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
 
+def _distance(dot: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * dot))
+
+
 class Node:
-    __slots__ = ("centre", "radius", "rows", "children")
+    """Rows within radius of a centre; children are a net of at most half that radius, leaves hold SMALL rows or equal ones."""
+
+    __slots__ = ("centre", "radius", "rows", "children", "centres", "radii")
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int, radius: float):
         self.centre, self.rows, self.children = centre, rows, []
-        d = np.sqrt(np.maximum(0, 2 - 2 * (x[rows] @ x[centre])))
-        self.radius = float(d.max())
+        self.radius = float(_distance(x[rows] @ x[centre]).max())
         if len(rows) <= SMALL or self.radius <= SLACK:
             return
         half = min(radius, self.radius) / 2
-        left, dist = rows, d
-        first = True
-        while len(left):  # greedy net: each centre takes what lies within half the radius
-            c = centre if first else int(left[np.argmax(dist)])
-            first = False
-            to = np.sqrt(np.maximum(0, 2 - 2 * (x[left] @ x[c])))
-            near = to <= half
-            near[left == c] = True
-            self.children.append(Node(x, left[near], c, half))
-            left, dist = left[~near], dist[~near]
-            if len(self.children) > 2 * SMALL and len(left):  # far apart in many dimensions: no smaller net
-                self.children.extend(Node(x, left[i : i + SMALL], int(left[i]), half) for i in range(0, len(left), SMALL))
-                break
+        left = np.concatenate([[centre], rows[rows != centre]])
+        while len(left):  # a block of candidates at a time: each that no earlier centre covers is one, and takes what it covers
+            block = left[:BLOCK]
+            to = _distance(x[left] @ x[block].T)
+            near, centres = to <= half, []
+            for k in range(len(block)):
+                if not near[k, centres].any():
+                    near[k, k] = True
+                    centres.append(k)
+            own = np.argmin(np.where(near[:, centres], to[:, centres], np.inf), axis=1)
+            taken = near[:, centres].any(axis=1)
+            own[centres] = np.arange(len(centres))
+            order = np.flatnonzero(taken)[np.argsort(own[taken], kind="stable")]
+            for k, part in zip(centres, np.split(left[order], np.cumsum(np.bincount(own[taken], minlength=len(centres)))[:-1]), strict=True):
+                self.children.append(Node(x, part, int(block[k]), half))
+            left = left[~taken]
+        self.centres = np.array([c.centre for c in self.children])
+        self.radii = np.array([c.radius for c in self.children])
+
+
+def _leaf_pairs(x: np.ndarray, pairs: list, threshold: float):
+    """Index pairs with cosine >= threshold between pairs of leaves: small ones many at once, large ones as a product each."""
+    some, size = [], 0
+    for p, q in [*pairs, (None, None)]:
+        n = len(p.rows) * len(q.rows) if p else 0
+        if n >= WIDE:
+            i, j = np.nonzero(x[p.rows] @ x[q.rows].T >= threshold)
+            i, j = p.rows[i], q.rows[j]
+            keep = i < j if p is q else np.ones(len(i), bool)
+            yield i[keep], j[keep]
+            continue
+        if p:
+            some.append((p, q))
+            size += n
+        if some and (not p or size > 1 << 15):
+            i = np.concatenate([np.repeat(a.rows, len(b.rows)) for a, b in some])
+            j = np.concatenate([np.tile(b.rows, len(a.rows)) for a, b in some])
+            once = np.concatenate([np.full(len(a.rows) * len(b.rows), a is b) for a, b in some])
+            keep = ~once | (i < j)
+            i, j = i[keep], j[keep]
+            ok = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            yield i[ok], j[ok]
+            some, size = [], 0
 
 
 def dual(x: np.ndarray, a: Node, b: Node, eps: float, threshold: float):
-    """Index pairs with cosine >= threshold between the nodes, in blocks (i < j, each once)."""
-    stack = [(a, b)]
+    """Index pairs with cosine >= threshold between the nodes, in blocks (each once; i < j if a is b)."""
+    stack, leaves, held = [(a, b)], [], 0
     while stack:
         p, q = stack.pop()
-        if p is not q:
-            d = np.sqrt(max(0.0, 2 - 2 * float(x[p.centre] @ x[q.centre])))
-            if d > p.radius + q.radius + eps + SLACK:
-                continue
         if not p.children and not q.children:
-            i, j = np.nonzero(x[p.rows] @ x[q.rows].T >= threshold)
-            i, j = p.rows[i], q.rows[j]
-            keep = i < j if p is q else np.ones(len(i), bool)
-            yield i[keep], j[keep]
-        elif p is q:
-            kids = p.children
-            stack += [(kids[s], kids[t]) for s in range(len(kids)) for t in range(s, len(kids))]
-        elif p.children and (not q.children or p.radius >= q.radius):
-            stack += [(c, q) for c in p.children]
-        else:
-            stack += [(p, c) for c in q.children]
+            leaves.append((p, q))
+            held += len(p.rows) * len(q.rows)
+            if held > 1 << 20:
+                yield from _leaf_pairs(x, leaves, threshold)
+                leaves, held = [], 0
+            continue
+        down = lambda n, other: n.children and (not other.children or n.radius >= other.radius or other.radius > n.radius / 2)
+        p_kids, q_kids = (p.children, q.children) if p is q else (p.children if down(p, q) else [p], q.children if down(q, p) else [q])
+        centres = lambda n, kids: (n.centres, n.radii) if kids is n.children else (np.array([n.centre]), np.array([n.radius]))
+        (pc, pr), (qc, qr) = centres(p, p_kids), centres(q, q_kids)
+        for s in range(0, len(pc), BLOCK):
+            far = _distance(x[pc[s : s + BLOCK]] @ x[qc].T)
+            i, j = np.nonzero(far <= pr[s : s + BLOCK, None] + qr + (eps + SLACK))
+            i += s
+            if p is q:
+                i, j = i[i <= j], j[i <= j]
+            stack += [(p_kids[u], q_kids[v]) for u, v in zip(i.tolist(), j.tolist(), strict=True)]
+    yield from _leaf_pairs(x, leaves, threshold)
 
 
 def _split(eps: float):
@@ -115,10 +154,14 @@ def _split(eps: float):
 
 
 def _pick_pivots(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy net over a node's bounded sample: farthest first, so that radii fall as fast as they can."""
+    """Greedy net over a node's bounded sample: farthest first, so that radii fall as fast as they can.
+
+    As many as give nodes of about half a leaf: a vector is sent once for each node that its own can link with.
+    """
     x = unit(pdf.sort_values("vec_id")["embedding"])
+    want = min(PIVOTS, int(pdf["want"].iloc[0]), len(x))
     chosen, dist = [0], np.full(len(x), np.inf)
-    while len(chosen) < min(PIVOTS, len(x)):
+    while len(chosen) < want:
         dist = np.minimum(dist, 2 - 2 * (x @ x[chosen[-1]]))
         at = int(np.argmax(dist))
         if dist[at] <= SLACK:
@@ -137,7 +180,7 @@ def tree_nodes(points: DataFrame, leaf: int, eps: float) -> tuple[DataFrame, lis
             break
         # at most a few hundred vectors a node, by hash, as candidates for its centres
         share = F.least(F.lit(1.0), F.lit(256.0) / F.col("size"))
-        sample = points.join(sizes, "node").filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("node", "vec_id", "embedding")
+        sample = points.join(sizes, "node").filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("node", "vec_id", "embedding", F.ceil(F.col("size") * 2 / leaf).alias("want"))
         pivots = stored(sample.groupBy("node").applyInPandas(_pick_pivots, "node string, pivots binary"), "cover-pivots")
         # vectors of a node are many and its pivots one row: salt both sides
         salts = 16
