@@ -410,8 +410,10 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75) -> DataFrame:
         return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times"))
 
     open_rows = met.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n")
-    # nearest partners first: large groups of near copies are one cluster before all their pairs are asked for
-    links = stored(links.unionByName(verified(stored(named(by_tree(open_rows, _nearest)), "ngram-nearest"), docs, k, pct)), "ngram-second")
+    # nearest partners first: large groups of near copies are one cluster before all their pairs are asked for. Pairs that
+    # are nearest at few shingles wait for the exact bound on all their meetings, which most don't reach
+    nearest = by_tree(open_rows, _nearest).filter(F.col("times") * 20 >= F.least("n_a", "n_b"))
+    links = stored(links.unionByName(verified(stored(named(nearest), "ngram-nearest"), docs, k, pct)), "ngram-second")
     left = by_tree(open_rows, _pairs_by_shingle).filter(_met_enough(pct))
     linked = components(links.unionByName(verified(stored(named(left), "ngram-left"), docs, k, pct)))
 
