@@ -1,23 +1,23 @@
 """Encoding with a tokenizers file by pieces that are known to encode alone.
 
 A word between spaces that recurs is encoded once per worker; the pieces of a text
-are chosen so that the file's own pre-tokenizer always cuts there. Letters with one
-mark after them are two such pieces, so the mark is encoded once and for all.
+are chosen so that the file's own pre-tokenizer always cuts there. Letters and the
+marks after them are two such pieces, so each run of marks is encoded once.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import hashlib
 import os
-import unicodedata
+import string
 from array import array
 
-#: Pieces that a worker remembers, as they stand and without their last mark. It forgets all at that number, so memory
-#: is bounded and results don't change.
-REMEMBERED, BASES = 200_000, 300_000
-MARKS = frozenset(".,;:!?")
+#: Pieces that a worker remembers, as they stand and without their marks, and runs of marks. At that number it keeps only
+#: the pieces of the texts at hand, so memory is bounded and results don't change.
+REMEMBERED, BASES, TAILS = 200_000, 300_000, 10_000
 
 
 def load(path: str):
@@ -49,45 +49,53 @@ def as_bytes(word: str) -> str:
     return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
-class _Pieces:
-    """Values of words, made from the values of their bases and marks.
+class _Pieces(dict):
+    """Values of words, made from the values of their bases and marks when a word is first asked for.
 
-    word(lead, base) gives that of a base of Latin letters, which the pre-tokenizer never cuts; encode(strings, length of
-    the lead) gives those of any others.
+    word(lead, base) gives that of a base of Latin letters, which the pre-tokenizer never cuts; encode(string, length of
+    the lead) gives that of any other.
     """
 
     def __init__(self, encode, word, lead: str):
-        self.encode, self.word, self.lead, self.known, self.bases = encode, word, lead, {}, {}
-        self.marks = dict(zip(sorted(MARKS), encode(sorted(MARKS), 0), strict=True))
-
-    def of(self, words: set[str]) -> dict:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = words - self.known.keys()
-        if new:
-            if len(self.bases) > BASES:
-                self.bases.clear()
-            self._learn(new)
-        return self.known
-
-    def _learn(self, new: set[str]) -> None:
-        bases, known, marks, word, lead, rest = self.bases, self.known, self.marks, self.word, self.lead, []
-        was = gc.isenabled()
-        gc.disable()  # nothing here makes cycles, and the collector would walk what is remembered
-        try:
-            for w in new:
-                mark = w[-1:]
-                b = w[:-1] if mark in marks else w
-                if b not in bases:
-                    if not (b.isalpha() and max(b) < "\u0250"):
-                        rest.append(w)
-                        continue
-                    bases[b] = word(lead, b)
-                known[w] = bases[b] + marks[mark] if mark in marks else bases[b]
-            known.update(zip(rest, self.encode([lead + w for w in rest], len(lead)), strict=True))
-        finally:
-            if was:
-                gc.enable()
+        self.encode, self.word, self.lead, self.bases, self.tails = encode, word, lead, {}, {}
+
+    def __missing__(self, w: str):
+        b = w.rstrip(string.punctuation)
+        value = self.bases.get(b)
+        if value is None:
+            if not (b.isalpha() and (b.isascii() or (max(b) < "\u0250" and "\u0130" not in b))):
+                value = self[w] = self.encode(self.lead + w, len(self.lead))
+                return value
+            value = self.bases[b] = self.word(self.lead, b)
+        if len(b) < len(w):
+            t = w[len(b) :]
+            if t not in self.tails:
+                self.tails[t] = self.encode(t, 0)
+            value = value + self.tails[t]
+        self[w] = value
+        return value
+
+    def trim(self, parts: list[list[str]]) -> None:
+        """Forget what is too much; words of parts stay."""
+        if len(self) > REMEMBERED:
+            stay = {w: self[w] for w in set().union(*parts) & self.keys()}
+            self.clear()
+            self.update(stay)
+        for held, most in ((self.bases, BASES), (self.tails, TAILS)):
+            if len(held) > most:
+                held.clear()
+
+
+@contextlib.contextmanager
+def _no_collector():
+    """Nothing here makes cycles, and the collector would walk what is remembered."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class Counter:
@@ -102,23 +110,25 @@ class Counter:
     def __init__(self, path: str):
         self.tok = load(path)
         self.model = self.tok.model
-        self.first, self.next = _Pieces(self._lengths, self._length, ""), _Pieces(self._lengths, self._length, " ")
+        self.first, self.next = _Pieces(self._whole, self._length, ""), _Pieces(self._whole, self._length, " ")
 
     def _length(self, lead: str, word: str) -> int:
         return len(self.model.tokenize(("\u0120" if lead else "") + as_bytes(word)))
 
-    def _lengths(self, pieces: list[str], lead: int) -> list[int]:
-        found = [len(e) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [self.WHOLE if len(p) == lead or p[lead].isspace() or p[-1].isspace() else n for p, n in zip(pieces, found, strict=True)]
+    def _whole(self, piece: str, lead: int) -> int:
+        if len(piece) == lead or piece[lead].isspace() or piece[-1].isspace():
+            return self.WHOLE
+        return len(self.tok.encode(piece, add_special_tokens=False))
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [t.split(" ") for t in texts]
-        first = self.first.of({p[0] for p in parts})
-        rest = self.next.of(set().union(*(p[1:] for p in parts)))
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            n = first[p[0]] + sum(map(rest.__getitem__, p[1:]))
-            out.append(n if n >= 0 else len(self.tok.encode(t, add_special_tokens=False)) if t else 0)
+        out, first, rest = [], self.first, self.next
+        with _no_collector():
+            for t, p in zip(texts, parts, strict=True):
+                n = first[p[0]] + sum(map(rest.__getitem__, p[1:]))
+                out.append(n if n >= 0 else len(self.tok.encode(t, add_special_tokens=False)) if t else 0)
+            first.trim([p[:1] for p in parts])
+            rest.trim([p[1:] for p in parts])
         return out
 
 
@@ -131,17 +141,20 @@ class Encoder:
         self.pieces = _Pieces(self._ids, self._word, "")
 
     def _word(self, lead: str, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(as_bytes(unicodedata.normalize("NFC", word)))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(as_bytes(word))]).tobytes()
 
-    def _ids(self, words: list[str], lead: int) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, piece: str, lead: int) -> bytes:
+        return array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the two letters that str.lower and the file's lower-casing treat differently keep their case here
-        low = [t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts]
+        # words with one of the two letters that str.lower and the file's lower-casing treat differently keep their case here
+        odd = lambda t: "\u03a3" in t or "\u0130" in t
+        low = [" ".join(w if odd(w) else w.lower() for w in t.replace("\n", " ").split(" ")) if odd(t) else t.lower() for t in texts]
         parts = [t.replace("\n", " ").split(" ") for t in low]
-        known = self.pieces.of(set().union(*parts))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        with _no_collector():
+            out = [b"".join(map(self.pieces.__getitem__, p)) for p in parts]
+            self.pieces.trim(parts)
+        return out
 
 
 @functools.lru_cache(2)

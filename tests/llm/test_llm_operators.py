@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm import components, cover_tree, decontamination, html_extract, licenses, line_dedup, mixing, ngram_join, pfor, token_counts, token_output, toxicity, wordhash
+from pageloom.llm import components, cover_tree, decontamination, html_extract, licenses, line_dedup, mixing, ngram_join, pfor, token_counts, token_output, tokenizing, toxicity, wordhash
 
 SPACE = " \t\n\x0b\x0c\r"
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -65,6 +65,17 @@ def test_token_counts(docs, tmp_path):
     assert odd.sparkSession.read.parquet(cache).count() == len({r.text or "" for r in odd.collect()})
 
 
+def test_encoder_against_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = "it's' x''s y'S'T don't,,, end<|endoftext|> <|startoftext|>! a_b_ __ \u00e9. \u00c9\u00c0!? \u017ft, \u0130x, \u03a3. \u0391\u03a3, UPPER \u00df# 12, 3.5% a1$ --"
+    texts = ["", " ", odd, "a\u2026, b\u0301, \u00e9! rock'n'roll'", "x" * 5000 + "!" * 300, *odd.split()]
+    encoder = tokenizing.Encoder(path)
+    want = [np.array(encoder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want
+    monkeypatch.setattr(tokenizing, "REMEMBERED", 3)  # it forgets between calls
+    assert [encoder.encode([t])[0] for t in texts] == want
+
+
 def test_token_output(docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
