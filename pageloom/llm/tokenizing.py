@@ -15,9 +15,9 @@ import os
 import string
 from array import array
 
-#: Pieces that a worker remembers, as they stand and without their marks, and runs of marks. At that number it keeps only
-#: the pieces of the texts at hand, so memory is bounded and results don't change.
-REMEMBERED, BASES, TAILS = 200_000, 300_000, 10_000
+#: Pieces that a worker remembers, and runs of marks. At that number it keeps only the pieces of the texts at hand, so
+#: memory is bounded and results don't change.
+REMEMBERED, TAILS = 350_000, 10_000
 
 
 def load(path: str):
@@ -57,22 +57,23 @@ class _Pieces(dict):
     """
 
     def __init__(self, encode, word, lead: str):
-        self.encode, self.word, self.lead, self.bases, self.tails = encode, word, lead, {}, {}
+        self.encode, self.word, self.lead, self.tails = encode, word, lead, {}
 
     def __missing__(self, w: str):
         b = w.rstrip(string.punctuation)
-        value = self.bases.get(b)
+        if not (b.isalpha() and (b.isascii() or (max(b) < "\u0250" and "\u0130" not in b))):
+            value = self[w] = self.encode(self.lead + w, len(self.lead))
+            return value
+        if len(b) == len(w):
+            value = self[w] = self.word(self.lead, w)
+            return value
+        value = self.get(b)
         if value is None:
-            if not (b.isalpha() and (b.isascii() or (max(b) < "\u0250" and "\u0130" not in b))):
-                value = self[w] = self.encode(self.lead + w, len(self.lead))
-                return value
-            value = self.bases[b] = self.word(self.lead, b)
-        if len(b) < len(w):
-            t = w[len(b) :]
-            if t not in self.tails:
-                self.tails[t] = self.encode(t, 0)
-            value = value + self.tails[t]
-        self[w] = value
+            value = self[b] = self.word(self.lead, b)
+        t = w[len(b) :]
+        if t not in self.tails:
+            self.tails[t] = self.encode(t, 0)
+        value = self[w] = value + self.tails[t]
         return value
 
     def trim(self, parts: list[list[str]]) -> None:
@@ -81,9 +82,8 @@ class _Pieces(dict):
             stay = {w: self[w] for w in set().union(*parts) & self.keys()}
             self.clear()
             self.update(stay)
-        for held, most in ((self.bases, BASES), (self.tails, TAILS)):
-            if len(held) > most:
-                held.clear()
+        if len(self.tails) > TAILS:
+            self.tails.clear()
 
 
 @contextlib.contextmanager
@@ -141,7 +141,7 @@ class Encoder:
         self.pieces = _Pieces(self._ids, self._word, "")
 
     def _word(self, lead: str, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(as_bytes(word))]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else as_bytes(word))]).tobytes()
 
     def _ids(self, piece: str, lead: int) -> bytes:
         return array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
