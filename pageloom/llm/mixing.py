@@ -3,17 +3,26 @@
 A source of weight w must run its k-th block (from 0) in the slots from floor(k/w)
 to ceil((k+1)/w) - 1. Weights are multiples of 1/PERIOD, so the schedule repeats
 every PERIOD slots and one period, found by earliest deadline first among the
-released blocks, is the schedule of any number of blocks.
+released blocks, is the schedule of any number of blocks. Many sources have a longer
+period, SLOTS_EACH slots a source at least.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import stored
 
 PERIOD, BLOCK_DOCS, ALPHA, ID_RANGE = 1000, 16, 0.9, 1024
+SLOTS_EACH = 32
+
+
+def whole_period(n_sources: int, period: int = PERIOD) -> int:
+    """The least multiple of period with SLOTS_EACH slots a source: the slot that each gets at least bends no weight by more than 1/SLOTS_EACH of it."""
+    return period * max(1, -(-n_sources * SLOTS_EACH // period))
 
 
 def target_weights(sizes: DataFrame, period: int = PERIOD, alpha: float = ALPHA) -> DataFrame:
@@ -33,12 +42,21 @@ def target_weights(sizes: DataFrame, period: int = PERIOD, alpha: float = ALPHA)
 
 
 def period_schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """source, share, slot, k: the k-th block of source in a period goes to slot. Earliest deadline first, ties by name."""
+    """source, share, slot, k: the k-th block of source in a period goes to slot. Earliest deadline first, ties by name.
+
+    The k-th blocks of sources with equal shares have one release and one deadline and run in order of name, so a step
+    looks at one candidate for each distinct share. Slots are gathered in runs, as appending copies.
+    """
     arr = weights.agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("w"))
-    step = f"""aggregate(sequence(0, {period} - 1), struct(transform(w, x -> 0L) as done, cast(array() as array<int>) as out), (acc, t) -> transform(array(
-        array_min(filter(transform(w, (x, i) -> struct(ceil((acc.done[i] + 1) * {period} / x.share) as deadline, i as i, floor(acc.done[i] * {period} / x.share) as release)),
-          y -> y.release <= t and acc.done[y.i] < w[y.i].share)).i),
-        p -> struct(transform(acc.done, (n, i) -> if(i = p, n + 1, n)) as done, concat(acc.out, array(p)) as out))[0]).out"""
+    same = arr.select(F.posexplode("w").alias("i", "x")).groupBy(F.col("x.share").alias("share")).agg(F.array_sort(F.collect_list("i")).alias("m"))
+    arr = arr.join(same.agg(F.array_sort(F.collect_list(F.struct("share", "m"))).alias("g")))
+    run = math.isqrt(period) + 1
+    due = f"""array_min(filter(transform(g, (x, j) -> struct(ceil((acc.done[j] div size(x.m) + 1) * {period} / x.share) as deadline, x.m[acc.done[j] % size(x.m)] as i, j as j,
+          floor(acc.done[j] div size(x.m) * {period} / x.share) as release, acc.done[j] div size(x.m) < x.share as left)), y -> y.release <= t and y.left))"""
+    steps = f"""aggregate(sequence(t0, least(t0 + {run}, {period}) - 1), struct(all.done as done, cast(array() as array<int>) as out), (acc, t) -> transform(array({due}),
+        p -> struct(transform(acc.done, (n, j) -> if(j = p.j, n + 1, n)) as done, concat(acc.out, array(p.i)) as out))[0])"""
+    step = f"""flatten(aggregate(sequence(0, {period} - 1, {run}), struct(transform(g, x -> 0L) as done, cast(array() as array<array<int>>) as out), (all, t0) -> transform(array({steps}),
+        r -> struct(r.done as done, concat(all.out, array(r.out)) as out))[0]).out)"""
     slots = arr.select("w", F.posexplode(F.expr(step)).alias("slot", "p")).filter("p is not null")
     k = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
     named = slots.select(F.expr("w[p].source").alias("source"), F.expr("w[p].share").alias("share"), F.col("slot").cast("long").alias("slot"))
@@ -72,13 +90,14 @@ def schedule(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS
     source has run all its blocks once; sources done earlier start over (epoch 1, 2 ...), so every row is in the mix and
     each source's count of slots stays within one block of its weight. A null source is a source named ''. Rows without
     doc_id come first in their source; repeated rows are rows of their own. docs may have a column _tie that orders rows
-    of one doc_id. With carry, row holds all columns of docs.
+    of one doc_id. With carry, row holds all columns of docs. The period is whole_period's, so no source is without slots.
     """
     whole = F.struct(*docs.columns).alias("row") if carry else None
     if "_tie" not in docs.columns:
         docs = docs.withColumn("_tie", F.lit(0))
     docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("source"), "_tie", *([whole] if carry else []))
     sizes = stored(docs.groupBy("source").agg(F.count("*").alias("n")), "mix-sizes")
+    period = whole_period(sizes.count(), period)
     weights = target_weights(sizes, period, alpha)
     plan = period_schedule(weights, period)
     blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / block_docs)).drop("n")

@@ -226,6 +226,26 @@ def test_mixing_deviation(spark):
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than slots of the shortest period, one of them with a third of the rows."""
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n // 3, "hot").otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(1500)))).alias("source"))
+    sizes = df.groupBy("source").agg(F.count("*").alias("n"))
+    assert sizes.count() > mixing.PERIOD
+    rows = mixing.schedule(df, block_docs=4).collect()
+    assert {r.doc_id for r in rows} == set(range(n))
+    assert len({r.slot for r in rows}) == len({(r.source, r.block, r.epoch) for r in rows})
+    period = mixing.whole_period(sizes.count())
+    shares = {r.source: r.share for r in mixing.target_weights(sizes, period).collect()}
+    assert sum(shares.values()) == period and min(shares.values()) > 0
+    weight = {r.source: r.n**mixing.ALPHA for r in sizes.collect()}
+    assert abs(shares["hot"] / period / (weight["hot"] / sum(weight.values())) - 1) < 1 / mixing.SLOTS_EACH
+    seen = dict.fromkeys(shares, 0)
+    for t, (_, s) in enumerate(sorted({(r.slot, r.source) for r in rows})):
+        seen[s] += 1
+        assert abs(seen[s] - shares[s] / period * (t + 1)) < 1
+
+
 def test_licences(spark):
     rows = [(1, "src/a/one.c", "x = 1\nReleased under the MIT License."), (2, "src/a/b/two.c", "none here"), (3, "src/three.c", None), (4, None, ""), (5, "src/a/b/five.c", "// Licensed under the Apache License, Version 2.0.\nlicence plates are metal")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("n", F.lit(0))
