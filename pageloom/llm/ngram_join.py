@@ -84,12 +84,12 @@ def _index(k: int, pct: int, levels: np.ndarray):
             for s, e in slices(b.column(1)):
                 ids = b.column(0).slice(s, e - s)
                 n, s1, s2, vec, prefix = [], [], [], [], []
-                for x in shingle_sets(b.column(1).slice(s, e - s), k):
+                for x, known in zip(shingle_sets(b.column(1).slice(s, e - s), k), ids.is_valid().to_pylist(), strict=True):
                     one, two = signature(x)
                     n.append(len(x))
                     s1.append(one)
                     s2.append(two)
-                    if not len(x) or int(one) in seen:  # a copy's prefix is here already
+                    if not known or not len(x) or int(one) in seen:  # links with nothing, or a copy's prefix is here already
                         vec.append(None)
                         prefix.append(None)
                         continue

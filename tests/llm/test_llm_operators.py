@@ -123,6 +123,12 @@ def test_ngram_groups(docs):
     assert got == groups_by_force([r for r in TEXTS if r[0] is not None])
 
 
+def test_ngram_copy_behind_a_row_without_id(spark):
+    rows = [(None, BASE), (2, BASE), (3, BASE.replace("word30 ", "other "))]
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {None: None, 2: 2, 3: 2}
+
+
 def test_ngram_groups_of_many_edits(spark):
     r = np.random.default_rng(3)
     rows = []
