@@ -30,14 +30,14 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of their slots; those of sources that are short of their weight come again."""
+    """All documents in the order of their slots, with slot and place; those of sources that are short of their weight come again."""
     slots = mixing.schedule(docs, carry=True)
-    return slots.repartitionByRange("slot").sortWithinPartitions("slot", "place").select(*(F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return slots.repartitionByRange("slot").sortWithinPartitions("slot", "place").select(*(F.col(f"row.{c}").alias(c) for c in docs.columns), "slot", "place")
 
 
 def packed_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every draw, read back from the packed files."""
-    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """doc_id, start, n_tokens, ids_crc32 of every draw in the order of the mix, read back from the packed files."""
+    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), order=("slot", "place"))
 
 
 STAGES = [

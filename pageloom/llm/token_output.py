@@ -1,4 +1,4 @@
-"""Token-ID output: documents as packed id chunks in doc_id order, with random access."""
+"""Token-ID output: documents as packed id chunks in doc_id order or one that is asked for, with random access."""
 
 from __future__ import annotations
 
@@ -46,15 +46,15 @@ def _writer(tokenizer: str, end_id: int, chunk_ids: int):
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS) -> None:
-    """Write the ids of every text (null: none), each with end_id after it, in ascending doc_id order.
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, order: tuple[str, ...] = ("doc_id", "text")) -> None:
+    """Write the ids of every text (null: none), each with end_id after it, in ascending order of the columns of order.
 
     One row of the table at path is a chunk of whole documents: its place (part, seq, ids before it in its part), the
-    documents' ids and lengths, and the packed ids. Rows without doc_id come first; rows with the same doc_id follow
-    each other by text. A document of any length is one entry.
+    documents' ids and lengths, and the packed ids. By default rows without doc_id come first and rows with the same
+    doc_id follow each other by text. A document of any length is one entry.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", text_or_empty().alias("text"), *(c for c in order if c not in ("doc_id", "text")))
+    ordered = rows.repartitionByRange(order[0]).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(tidy(_writer(tokenizer, end_id, chunk_ids)), CHUNKS).write.parquet(path)
 
 
@@ -99,7 +99,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return read_chunks(spark, path).select("doc_ids", "lengths", "payload").mapInArrow(tidy(run), "doc_id long, ids array<long>")
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     path = path or new_path(docs.sparkSession, "token-ids")
-    write_token_ids(docs, path, tokenizer)
+    write_token_ids(docs, path, tokenizer, order=order)
     return read_digests(docs.sparkSession, path)

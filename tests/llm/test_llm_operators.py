@@ -252,6 +252,17 @@ def test_mixing_of_many_sources(spark):
         assert abs(seen[s] - shares[s] / period * (t + 1)) < 1
 
 
+def test_packed_ids_are_in_the_order_of_the_mix(spark):
+    import corpus_pipeline
+
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 120, "a").otherwise("b").alias("source"))
+    mix = corpus_pipeline.mixed(spark, df, "")
+    want = [r.doc_id for r in mixing.schedule(df).sort("slot", "place").collect()]
+    assert want != sorted(want)
+    got = corpus_pipeline.packed_ids(spark, mix, "").sort("start").collect()
+    assert [r.doc_id for r in got] == want
+
+
 def test_licences(spark):
     rows = [(1, "src/a/one.c", "x = 1\nReleased under the MIT License."), (2, "src/a/b/two.c", "none here"), (3, "src/three.c", None), (4, None, ""), (5, "src/a/b/five.c", "// Licensed under the Apache License, Version 2.0.\nlicence plates are metal")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("n", F.lit(0))
