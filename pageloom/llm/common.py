@@ -51,6 +51,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: 64-bit words of a bit filter, at most.
+FILTER_WORDS = 1 << 20
+
+
+def narrowed(rows: DataFrame, column: str, keys: DataFrame, n_keys: int) -> DataFrame:
+    """rows without most of those whose column isn't in keys (one column, about n_keys rows): a bit filter joined by broadcast.
+
+    The filter has 16 bits a key and FILTER_WORDS words at most. Some other rows may stay, and a full filter lets all
+    through: the joins that follow are exact.
+    """
+    words = min(1 << max(8, (n_keys // 4).bit_length()), FILTER_WORDS)
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
+    low = lambda c: f"cast(pmod(xxhash64(`{c}`), {words * 64}L) & 63 as int)"
+    key = keys.columns[0]
+    mask = keys.groupBy(F.shiftright(bit(key), 6).alias("_w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {low(key)})")).alias("_bits"))
+    hit = F.expr(f"(shiftrightunsigned(_bits, {low(column)}) & 1L) = 1L")
+    return rows.join(F.broadcast(mask), F.shiftright(bit(column), 6) == F.col("_w")).filter(hit).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

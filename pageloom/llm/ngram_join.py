@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, small_batches, stored, text_or_empty, tidy, to_batch
+from pageloom.llm.common import narrowed, slices, small_batches, stored, text_or_empty, tidy, to_batch
 from pageloom.llm.components import components
 from pageloom.llm.wordhash import mix, shingle_sets
 
@@ -492,26 +492,9 @@ def _verified(k: int, pct: int):
     return run
 
 
-#: 64-bit words of the filter on document ids, at most.
-FILTER_WORDS = 1 << 20
-
-
-def narrowed(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """docs without most rows whose doc_id isn't in ids: a bit filter of so many 64-bit words (FILTER_WORDS at most), joined by broadcast.
-
-    Some others may stay; a filter that is full lets all rows through, and the joins that follow are exact.
-    """
-    words = min(words, FILTER_WORDS)
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
-    b = bit(ids.columns[0])
-    mask = ids.groupBy(F.shiftright(b, 6).alias("_w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({ids.columns[0]}), {words * 64}L) & 63 as int))")).alias("_bits"))
-    hit = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(doc_id), {words * 64}L) & 63 as int)) & 1L) = 1L")
-    return docs.join(F.broadcast(mask), F.shiftright(bit("doc_id"), 6) == F.col("_w")).filter(hit).select(*docs.columns)
-
-
 def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
     """The pairs (a, b: doc ids) whose whole texts link."""
-    few = narrowed(docs, pairs.select("a").union(pairs.select("b")), 1 << max(8, (pairs.count() // 2).bit_length()))  # 16 bits an id and more
+    few = narrowed(docs, "doc_id", pairs.select("a").union(pairs.select("b")), 2 * pairs.count())
     text = lambda to, name: few.select(F.col("doc_id").alias(to), text_or_empty().alias(name))
     both = pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b")
     with small_batches(docs.sparkSession, 256):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import tokenizing
-from pageloom.llm.common import new_path, slices, text_or_empty, tidy, to_batch
+from pageloom.llm.common import narrowed, new_path, slices, stored, text_or_empty, tidy, to_batch
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -33,17 +33,21 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, text
 
     Normalised content is the UTF-8 text itself (byte-level counts depend on every byte) with null as empty. cache is a
     folder of digest, tokenizer, n_tokens that other runs may have filled; new counts are appended to it. Copies, empty
-    texts and repeated rows share one entry. Two runs must not fill one cache at the same time.
+    texts and repeated rows share one entry; a digest that stands there twice counts once. Columns of docs named n_bytes or
+    n_tokens are replaced. Two runs must not fill one cache at the same time.
     """
     spark = docs.sparkSession
     cache, version = cache or new_path(spark, "token-cache"), tokenizing.version_of(tokenizer)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
-    known = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select(F.col("digest").alias("_digest"), F.col("n_tokens").alias("_count"))
+    stored_counts = lambda: spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
+    known = lambda: stored_counts().groupBy(F.col("digest").alias("_digest")).agg(F.min("n_tokens").alias("_count"))
     content = text_or_empty(text)
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(content, 256)))
-    distinct = keyed.groupBy("_digest").agg(F.first(content).alias("_text"))
-    misses = distinct.join(known(), "_digest", "left_anti").select("_digest", "_text")
+    keyed = docs.drop("n_bytes", "n_tokens").withColumn("_digest", F.unhex(F.sha2(content, 256)))
+    # digests alone are compared with the cache; a filter then keeps the texts of those known from being moved
+    missing = stored(keyed.select("_digest").distinct().join(known(), "_digest", "left_anti").select("_digest"), "token-misses")
+    few = narrowed(keyed.select("_digest", content.alias("_text")), "_digest", missing, missing.count())
+    misses = few.groupBy("_digest").agg(F.first("_text").alias("_text")).join(missing, "_digest", "left_semi").select("_digest", "_text")
     made = misses.mapInArrow(tidy(_counter(tokenizer)), "digest binary, n_tokens long")
     made.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    rows = keyed.select(*[c for c in docs.columns if c != text], F.octet_length(content).cast("long").alias("n_bytes"), "_digest")
+    rows = keyed.select(*[c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")], F.octet_length(content).cast("long").alias("n_bytes"), "_digest")
     return rows.join(known(), "_digest").select(*rows.columns[:-1], F.col("_count").alias("n_tokens"))

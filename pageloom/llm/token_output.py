@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm import pfor, tokenizing
@@ -62,9 +62,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The chunks with start, the ids of all documents before them."""
     chunks = spark.read.schema(CHUNKS).parquet(path)
     # one row a range partition, so its size is that of the partitions
-    parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n")).agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("p"))
-    sums = F.transform("p", lambda x, i: F.struct(x["part"].alias("part"), F.aggregate(F.slice("p", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("before")))
-    before = parts.select(F.explode(sums).alias("b")).select("b.*")
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = chunks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(earlier, F.lit(0)).cast("long").alias("before"))
     return chunks.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
@@ -100,6 +99,11 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of docs (doc_id, text), read back from the files that are written to path.
+
+    Without a path they go to the shared folder. Null and empty texts are their end id alone; repeated rows are entries of
+    their own; other columns of docs don't matter. An empty table gives no rows.
+    """
     path = path or new_path(docs.sparkSession, "token-ids")
     write_token_ids(docs, path, tokenizer, order=order)
     return read_digests(docs.sparkSession, path)

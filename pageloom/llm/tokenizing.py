@@ -139,6 +139,7 @@ class Encoder:
         self.tok = load(path)
         self.model = self.tok.model
         self.pieces = _Pieces(self._ids, self._word, "")
+        self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
 
     def _word(self, lead: str, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else as_bytes(word))]).tobytes()
@@ -150,9 +151,11 @@ class Encoder:
         # words with one of the two letters that str.lower and the file's lower-casing treat differently keep their case here
         odd = lambda t: "\u03a3" in t or "\u0130" in t
         low = [" ".join(w if odd(w) else w.lower() for w in t.replace("\n", " ").split(" ")) if odd(t) else t.lower() for t in texts]
-        parts = [t.replace("\n", " ").split(" ") for t in low]
+        # the file finds special strings before it lower-cases, so a text that shows one in any case goes through whole
+        whole = [any(x in s for x in self.special) or (odd(t) and any(x in t.lower() for x in self.special)) for t, s in zip(texts, low, strict=True)]
+        parts = [[] if w else t.replace("\n", " ").split(" ") for t, w in zip(low, whole, strict=True)]
         with _no_collector():
-            out = [b"".join(map(self.pieces.__getitem__, p)) for p in parts]
+            out = [self._ids(t, 0) if w else b"".join(map(self.pieces.__getitem__, p)) for t, p, w in zip(texts, parts, whole, strict=True)]
             self.pieces.trim(parts)
         return out
 

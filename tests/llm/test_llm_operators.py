@@ -62,13 +62,21 @@ def test_token_counts(docs, tmp_path):
     for _ in range(2):  # the second time all counts come from the cache
         got = token_counts.token_counts(odd, path, cache)
         assert {r.doc_id: r.n_tokens for r in got.collect()} == want
-    assert odd.sparkSession.read.parquet(cache).count() == len({r.text or "" for r in odd.collect()})
+    stored = odd.sparkSession.read.parquet(cache)
+    assert stored.count() == len({r.text or "" for r in odd.collect()})
+    stored.limit(3).write.mode("append").parquet(cache)  # a digest that stands there twice
+    clash = odd.withColumns({"n_tokens": F.lit(-1), "n_bytes": F.lit("x")})
+    got = token_counts.token_counts(clash, path, cache)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == want and got.count() == odd.count() and len(got.columns) == len(set(got.columns))
 
 
 def test_encoder_against_library(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
-    odd = "it's' x''s y'S'T don't,,, end<|endoftext|> <|startoftext|>! a_b_ __ \u00e9. \u00c9\u00c0!? \u017ft, \u0130x, \u03a3. \u0391\u03a3, UPPER \u00df# 12, 3.5% a1$ --"
+    odd = "<|ENDOFTEXT|> <|StartOfText|>x\u03a3<|ENDOFTEXT|> it's' x''s y'S'T don't,,, end<|endoftext|> <|startoftext|>! a_b_ __ \u00e9. \u00c9\u00c0!? \u017ft, \u0130x, \u03a3. \u0391\u03a3, UPPER \u00df# 12, 3.5% a1$ --"
     texts = ["", " ", odd, "a\u2026, b\u0301, \u00e9! rock'n'roll'", "x" * 5000 + "!" * 300, *odd.split()]
+    r = np.random.default_rng(9)
+    alphabet = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startofText|>", "<|", "|>", " ", "\n", "a", "Word", "\u0130", "\u03a3", "'s", "!", "\u00e9", "12"]
+    texts += ["".join(r.choice(alphabet, r.integers(1, 12))) for _ in range(1500)]
     encoder = tokenizing.Encoder(path)
     want = [np.array(encoder.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encoder.encode(texts) == want
