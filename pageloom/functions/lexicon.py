@@ -83,6 +83,20 @@ AFTER_IVE = ("GOT", "BEEN", "HAD", "DONE", "SEEN", "MADE", "THOUGHT", "NEVER", "
 # Single-word misreads.
 MISREADS = {"I'W": "I'LL", "YOU'O": "YOU'D", "FRAI": "FRAU", "SURRENTER": "SURRENDER"}
 
+# Patterns of clean_text and what they put, in their order.
+MODEL_TOKENS = "</s>|<s>|<pad>"
+LOOSE_APOSTROPHES = ((r"(?i)(\w) ' (M|S|T|D|RE|VE|LL)\b", "$1'$2"), (r"(?i)\bY ' KNOW\b", "Y'KNOW"))
+LOOSE_CAUSE = ((r"(?i)\b' CAUSE\b", "'CAUSE"),)
+STRAY_MARKS = (r"\s+[=|/\\<>@#$%^&*~`]+\s+", " ")
+STRAY_POINTS = (r"(?<=\w)\s+[.,;:]\s+(?=\w)", " ")
+STRAY_LETTERS = (r"(?<=[a-zA-Z])\s+[B-HJ-Zb-hj-z]\s+(?=[a-zA-Z])", " ")
+STRAY_STARTS = ((r"^[A-Z],\s+", ""), (r"^'[a-z]{1,3}\s+", ""), (r"^[A-Za-z]{1,2}[,;]\s+", ""))
+LETTER_RUNS = (r"([A-Za-z])\1{2,}", "$1$1")
+HYPHENS = ((r"([A-Z]+)-\s+([A-Z])", "$1-$2"), (r"(\w)-\s+([a-z])", "$1$2"), (r"\b([A-Z]{2,6})-([A-Z]{2,6})\b", "$1$2"))
+GLUED_CONTRACTIONS = (r"(\w'(?:M|S|T|RE|VE|LL|D))([A-Z])", "$1 $2")
+BROKEN_QUESTION = (r"(\w+)-\s+(\w+)\?", "$1$2?")
+WORD_EDGE_MARKS = r"(?<![^\s])[!?.,…~]+|[!?.,…~]+(?![^\s])"
+
 # Hiragana, Katakana, CJK and CJK extension A.
 CJK = "[\\u3040-\\u309F\\u30A0-\\u30FF\\u4E00-\\u9FFF\\u3400-\\u4DBF]"
 

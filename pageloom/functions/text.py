@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageloom.functions import lexicon
 
+#: Number words, and tone -> (change of rate, pitch).
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
-#: tone -> (change of rate, pitch)
 PROSODY = {"shout": (0.1, 1.3), "surprise": (0.05, 1.2), "question": (-0.05, 1.1), "trailing": (-0.1, 0.9), "exclaim": (0.05, 1.15), "normal": (0.0, 1.0)}
 
 
@@ -23,11 +25,11 @@ def n_matches(text: Column, pattern: str) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_replace(text, "[^a-zA-Z]", "")
+    return F.regexp_replace(text, "[^a-zA-Z]+", "")
 
 
 def digits(text: Column) -> Column:
-    return F.regexp_replace(text, "[^0-9]", "")
+    return F.regexp_replace(text, "[^0-9]+", "")
 
 
 def py_trim(text: Column) -> Column:
@@ -42,14 +44,21 @@ def words(text: Column) -> Column:
 
 def ocr_score(text: Column) -> Column:
     """Quality of a recognised line: -1 if blank, else letters, digits and words less junk (double)."""
-    n_alpha, n_digit = F.length(letters(text)), F.length(digits(text))
-    toks = words(text)
-    merged = F.size(F.filter(toks, lambda w: F.length(F.regexp_replace(w, "[^a-zA-Z]", "")) > 15))
-    junk = F.length(F.regexp_replace(text, r"""[a-zA-Z0-9 .,!?'\-"…:;()\[\]]""", ""))
-    short = F.when((n_alpha < 3) & (n_digit == 0), F.when(text.rlike("[.!?]"), 8.0).otherwise(20.0)).otherwise(0.0)
-    score = n_alpha + n_digit * 0.5 + F.size(toks) * 1.5 - merged * 8 - junk * 5 - short
-    blank = text.isNull() | (F.size(toks) <= 0)
-    return F.when(blank, -1.0).when((n_digit > 0) & (n_alpha == 0), n_digit.cast("double")).otherwise(score.cast("double"))
+    def judge(n: Column) -> Column:
+        n_alpha, n_digit = F.length(letters(text)), F.length(digits(text))
+        # letters of a word stand together once all but letters and white space is gone
+        merged = F.regexp_count(F.regexp_replace(text, r"(?U)[^a-zA-Z\s]+", ""), F.lit("[a-zA-Z]{16,}"))
+        junk = F.length(F.regexp_replace(text, r"""[a-zA-Z0-9 .,!?'\-"…:;()\[\]]+""", ""))
+
+        def score(counts: Column) -> Column:
+            a, d = counts["a"], counts["d"]
+            short = F.when((a < 3) & (d == 0), F.when(text.rlike("[.!?]"), 8.0).otherwise(20.0)).otherwise(0.0)
+            whole = a + d * 0.5 + n * 1.5 - merged * 8 - junk * 5 - short
+            return F.when((d > 0) & (a == 0), d.cast("double")).otherwise(whole.cast("double"))
+
+        return F.when(n > 0, let(F.struct(n_alpha.alias("a"), n_digit.alias("d")), score)).otherwise(-1.0)
+
+    return F.when(text.isNull(), -1.0).otherwise(let(F.size(words(text)), judge))
 
 
 def needs_reocr(text: Column, score: Column) -> Column:
@@ -172,23 +181,28 @@ def fix_digit_misreads(text: Column, unit_words=tuple(lexicon.UNIT_WORDS)) -> Co
 
 def is_free_text_junk(text: Column, sounds=tuple(lexicon.FREE_TEXT_SOUND_WORDS), credits=lexicon.CREDITS) -> Column:
     """True for sound words, credits, links and noise in text outside bubbles; null text is junk."""
-    s = py_trim(F.coalesce(text, F.lit("")))
-    toks, alpha, n = words(s), letters(s), F.length(s)
-    n_short = F.size(F.filter(toks, lambda w: F.length(w) <= 2))
-    n_upper = F.length(F.regexp_replace(alpha, "[^A-Z]", ""))
-    lower = F.lower(s)
-    credit = F.lit(False)
-    for c in credits:
-        credit = credit | lower.contains(c)
-    n_ascii = F.length(F.regexp_replace(s, r"[^\x00-\x7F]", ""))
-    return (
-        (n <= 1)
-        | ((F.size(toks) >= 3) & (n_short / F.size(toks) >= 0.5))
-        | ((F.length(alpha) >= 3) & (n_upper / F.length(alpha) < 0.4) & (F.size(toks) >= 2))
-        | s.startswith("@") | s.startswith("#") | credit | s.rlike(lexicon.CJK) | (n_ascii / n < 0.5)
-        | F.regexp_replace(F.upper(s), r"(?U)[!?.…\s]+$", "").isin(*sounds)
-        | s.rlike(SOUND_RUN) | (alpha == "")
-    )
+    def of_words(s: Column, toks: Column, alpha: Column) -> Column:
+        n_short = F.size(F.filter(toks, lambda w: F.length(w) <= 2))
+        n_upper = F.length(F.regexp_replace(alpha, "[^A-Z]+", ""))
+        return (
+            ((F.size(toks) >= 3) & (n_short / F.size(toks) >= 0.5))
+            | ((F.length(alpha) >= 3) & (n_upper / F.length(alpha) < 0.4) & (F.size(toks) >= 2))
+            | (alpha == "")
+        )
+
+    def of_text(s: Column) -> Column:
+        n_ascii = F.length(F.regexp_replace(s, r"[^\x00-\x7F]+", ""))
+        any_credit = lambda low: reduce(lambda a, b: a | b, (low.contains(x) for x in credits))
+        return (
+            (F.length(s) <= 1)
+            | s.startswith("@") | s.startswith("#")
+            | let(words(s), lambda toks: let(letters(s), lambda alpha: of_words(s, toks, alpha)))
+            | let(F.lower(s), any_credit) | s.rlike(lexicon.CJK) | (n_ascii / F.length(s) < 0.5)
+            | let(F.regexp_replace(F.upper(s), r"(?U)[!?.…\s]+$", ""), lambda k: k.isin(*sounds))
+            | s.rlike(SOUND_RUN)
+        )
+
+    return let(py_trim(F.coalesce(text, F.lit(""))), of_text)
 
 
 #: Up to three letters, one character three times or more, up to three letters, end marks.

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom import cleansql
 from pageloom.functions import geometry as G
 from pageloom.functions import lexicon
 from pageloom.functions import text as T
 from pageloom.operators import boxes, state
 from pageloom.operators.clean import clean_text
 from pageloom.plans import pipelines
-from pageloom.sources.readers import envelope, protected, table, vocabulary
+from pageloom.sources.readers import envelope, protected, spread, table, vocabulary
 from pageloom.streaming.sessions import heartbeat_states_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +68,7 @@ def kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
 
 
 def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -198,13 +199,13 @@ def coordinates(spark, d):
 
 
 @query(
-    f"""WITH {DET}, r AS (SELECT page_id, x, y, w, h, cls, least(greatest(0, x * 2), 799) AS l, least(greatest(0, y * 2), 1199) AS t FROM det WHERE cls < 2),
+    f"""WITH {DET}, r AS (SELECT page_id, x, y, w, h, cls, least(greatest(0, x * 2), 799) AS l, least(greatest(0, y * 2), 1199) AS t FROM det),
 s AS (SELECT *, least(w * 2, 800 - l) AS cw, least(h * 2, 1200 - t) AS ch FROM r), o AS (SELECT *, cls = 0 AND cw > 120 AND ch > 180 AS ok FROM s)
 SELECT page_id, x, y, w, h, cls, CASE WHEN ok THEN l ELSE 0 END AS rx, CASE WHEN ok THEN t ELSE 0 END AS ry, CASE WHEN ok THEN cw ELSE 800 END AS rw, CASE WHEN ok THEN ch ELSE 1200 END AS rh, count(*) AS n FROM o GROUP BY ALL"""
 )
 def crop_rect(spark, d):
     rect = F.when(c("cls") == 0, F.struct(*(c(a).cast("double").alias(b) for a, b in zip("xywh", ("left", "top", "width", "height"), strict=True))))
-    det = detections(spark, d).filter("cls < 2").withColumn("r", G.crop_rect(rect, F.lit(2.0), F.lit(800), F.lit(1200)))
+    det = detections(spark, d).withColumn("r", G.crop_rect(rect, F.lit(2.0), F.lit(800), F.lit(1200)))
     return det.groupBy("page_id", "x", "y", "w", "h", "cls", *(c(f"r.{f}").alias(f"r{f}") for f in "xywh")).agg(F.count("*").alias("n"))
 
 
@@ -242,22 +243,23 @@ def needs_reocr(spark, d):
     return lines(spark, d).select("doc_id", "line_idx", T.needs_reocr(c("line"), T.ocr_score(c("line"))).alias("again"))
 
 
-DOUBLED = "list_distinct(list_filter([{alts}], lambda p: contains(lower({t}), p || p)))"
+def doubled(t: str) -> str:
+    """Characters of t that stand twice in a row, in SQL."""
+    return f"list_transform([string_split(lower({t}), '')], lambda x: list_distinct(list_transform(list_filter(range(2, len(x) + 1), lambda i: x[i] = x[i - 1]), lambda i: x[i])))[1]"
+
+
+ACCEPT = f"""coalesce({{new}} <> '' AND length({{new}}) > length({{old}}) AND {{score}} AND NOT ({{old}} <> '' AND NOT list_has_all({doubled("{old}")}, {doubled("{new}")})), false)"""
 
 
 @query(
-    f"""WITH {LINES}, s AS (SELECT doc_id, line_idx, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_idx) AS old FROM lines),
-d AS (SELECT *, list_transform(regexp_extract_all(lower(line), '{"|".join(2 * x for x in "abcdefghijklmnopqrstuvwxyz")}'), lambda p: p[1]) AS a,
- list_transform(regexp_extract_all(lower(coalesce(old, '')), '{"|".join(2 * x for x in "abcdefghijklmnopqrstuvwxyz")}'), lambda p: p[1]) AS b FROM s WHERE regexp_matches(line, '^[a-zA-Z ,.]*$') AND (old IS NULL OR regexp_matches(old, '^[a-zA-Z ,.]*$')) AND line NOT LIKE '%  %' AND coalesce(old, '') NOT LIKE '%  %' AND line NOT LIKE '%..%' AND coalesce(old, '') NOT LIKE '%..%' AND line NOT LIKE '%,,%' AND coalesce(old, '') NOT LIKE '%,,%')
-SELECT doc_id, line_idx, coalesce(line <> '' AND length(line) > length(coalesce(old, '')) AND {SCORE.format(t="line")} > {SCORE.format(t="coalesce(old, '')")}
- AND NOT (coalesce(old, '') <> '' AND len(list_filter(a, lambda p: NOT list_contains(b, p))) > 0), false) AS accepted FROM d"""
+    f"""WITH {LINES}, s AS (SELECT doc_id, line_idx, line, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line_idx), '') AS old FROM lines),
+d AS (SELECT *, {SCORE.format(t="line")} > {SCORE.format(t="old")} AS better FROM s) SELECT doc_id, line_idx, {ACCEPT.format(new="line", old="old", score="better")} AS accepted FROM d"""
 )
 def accept_upgrade(spark, d):
     from pyspark.sql import Window
 
     old = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_idx"))
-    plain = lambda x: x.rlike("^[a-zA-Z ,.]*$") & ~x.contains("  ") & ~x.contains("..") & ~x.contains(",,")
-    s = lines(spark, d).withColumn("old", old).filter(plain(c("line")) & (c("old").isNull() | plain(c("old"))))
+    s = lines(spark, d).withColumn("old", old)
     score = lambda x: T.ocr_score(F.coalesce(x, F.lit("")))
     return s.select("doc_id", "line_idx", T.accept_upgrade(c("old"), score(c("old")), c("line"), score(c("line"))).alias("accepted"))
 
@@ -300,7 +302,7 @@ def free_text_junk(spark, d):
     return lines(spark, d).select("doc_id", "line_idx", T.is_free_text_junk(c("line")).alias("junk"))
 
 
-@query()
+@query(f"WITH {LINES}, {cleansql.clean_ctes('lines')} SELECT doc_id, line_idx, clean FROM lines JOIN clean ON line = t")
 def clean_lines(spark, d):
     return clean_text(lines(spark, d), "line").select("doc_id", "line_idx", "clean")
 
@@ -310,13 +312,12 @@ def tts_prepare(spark, d):
     return T.tts_prepare(lines(spark, d), "line").select("doc_id", "line_idx", "spoken")
 
 
-@query(
-    f"""WITH {LINES}, u AS (SELECT doc_id, line_idx, 'WE HAVE ' || CAST(line_idx % 3 AS VARCHAR) || CASE WHEN line_idx % 2 = 0 THEN ' DAYS' ELSE ' HERE' END AS t FROM lines)
-SELECT doc_id, line_idx, CASE WHEN line_idx % 2 = 1 AND line_idx % 3 = 0 THEN 'WE HAVE O HERE' WHEN line_idx % 2 = 1 AND line_idx % 3 = 1 THEN 'WE HAVE I HERE' ELSE t END AS fixed FROM u"""
-)
+CAPS = "upper(replace(line, 'ß', 'SS'))"
+
+
+@query(f"WITH {LINES}, caps AS (SELECT doc_id, line_idx, line, {CAPS} AS u FROM lines) SELECT doc_id, line_idx, {cleansql.digits_read('line')} AS fixed, {cleansql.digits_read('u')} AS fixed_capitals FROM caps")
 def digit_misreads(spark, d):
-    t = F.concat(F.lit("WE HAVE "), (c("line_idx") % 3).cast("string"), F.when(c("line_idx") % 2 == 0, " DAYS").otherwise(" HERE"))
-    return lines(spark, d).select("doc_id", "line_idx", T.fix_digit_misreads(t).alias("fixed"))
+    return lines(spark, d).select("doc_id", "line_idx", T.fix_digit_misreads(c("line")).alias("fixed"), T.fix_digit_misreads(F.upper("line")).alias("fixed_capitals"))
 
 
 @query(
@@ -439,15 +440,15 @@ def clip_status(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) AS word FROM documents WHERE lang = 'en'), t AS (SELECT word AS term, count(*) AS freq FROM w WHERE length(word) BETWEEN 2 AND 5 GROUP BY 1),
-u AS (SELECT DISTINCT word FROM w WHERE length(word) BETWEEN 6 AND 9), s AS (SELECT word, unnest(range(2, length(word) - 1)) AS pos FROM u),
+    """WITH w AS (SELECT unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z \\n]', '', 'g'), '[ \\n]+')) AS word FROM documents), t AS (SELECT word AS term, count(*) AS freq FROM w WHERE length(word) >= 2 GROUP BY 1),
+u AS (SELECT term AS word FROM t WHERE length(term) >= 4), s AS (SELECT word, unnest(range(2, length(word) - 1)) AS pos FROM u),
 j AS (SELECT word, pos, l.term AS a, r.term AS b, least(l.freq, r.freq) AS score FROM s JOIN t l ON l.term = left(word, pos) JOIN t r ON r.term = substr(word, pos + 1))
 SELECT word, a AS left_word, b AS right_word, score FROM j QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, pos) = 1"""
 )
 def split_merged(spark, d):
-    w = table(spark, d, "documents").filter("lang = 'en'").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("word"))
-    freq = w.filter(F.length("word").between(2, 5)).groupBy(c("word").alias("term")).agg(F.count("*").alias("freq"))
-    return state.best_split(w.filter(F.length("word").between(6, 9)).distinct(), freq)
+    w = table(spark, d, "documents").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z \n]+", ""), "[ \n]+")).alias("word"))
+    freq = w.filter(F.length("word") >= 2).groupBy(c("word").alias("term")).agg(F.count("*").alias("freq"))
+    return state.best_split(freq.select(c("term").alias("word")), freq)
 
 
 @query(
@@ -475,19 +476,51 @@ def _texts(spark, d):
     return k.select("page_id", "x", "y", "w", "h", F.concat_ws(" ", w(c("x")), w(c("x") + c("y"))).alias("text"))
 
 
-@query()
+WORDS_SQL = "['HELLO THERE', 'I SEE YOU', 'WHAT IS THAT?', 'BOOM', 'HUH', 'GO NOW!', 'THE OLD HOUSE']"
+
+
+@query(
+    f"""WITH {NMS}, two AS (SELECT page_id, list({{'rank': rank, 'cls': cls, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score}} ORDER BY rank) AS l FROM kept_rows WHERE cls IN (0, 1) GROUP BY 1),
+seeded AS (SELECT page_id, list_concat([list_filter(l, lambda b: b.cls = 1)], list_transform(list_filter(l, lambda b: b.cls = 0), lambda b: [b])) AS s FROM two),
+picked AS (SELECT page_id, unnest(list_reduce(s, lambda acc, b: CASE WHEN len(list_filter(acc, lambda t: {CONTAINS.format(i="t", o="b[1]")})) = 0 THEN list_concat(acc, b) ELSE acc END)) AS b FROM seeded),
+texts AS (SELECT page_id, b, {WORDS_SQL}[b.x % 7 + 1] || ' ' || {WORDS_SQL}[(b.x + b.y) % 7 + 1] AS line FROM picked), {cleansql.clean_ctes("texts")},
+judged AS (SELECT page_id, b, clean FROM texts JOIN clean ON line = t WHERE clean <> '' AND NOT (length(clean) > 4 AND {SCORE.format(t="clean")} < 0))
+SELECT page_id, b.rank AS idx, clean AS text, round_even(b.score / 1000.0::DOUBLE, 3) AS conf, b.x::DOUBLE AS "left", b.y::DOUBLE AS top, b.w::DOUBLE AS width, b.h::DOUBLE AS height, 1.0::DOUBLE AS dpr,
+ row_number() OVER (PARTITION BY page_id ORDER BY floor(b.y / 200.0::DOUBLE), -b.x, b.rank) AS rank FROM judged"""
+)
 def bubble_pipeline(spark, d):
     det = detections(spark, d).withColumn("score", c("score") / 1000.0)
     return pipelines.bubbles(det, _texts(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {OCR.replace("line AS text,", CAPS + " AS text,")}, pages_lines AS (SELECT page_id, list({{'y': y, 'idx': idx, 'x': x, 'w': w, 'h': h, 'text': text, 'conf': conf}} ORDER BY y, idx) AS ls FROM ocr GROUP BY 1),
+grp AS (SELECT page_id, unnest(list_reduce(list_transform(ls, lambda e: [[e]]), lambda acc, l: list_concat(
+ list_filter(acc, lambda g: len(list_filter(g, lambda m: {ADJ})) = 0),
+ [list_sort(list_concat(flatten(list_filter(acc, lambda g: len(list_filter(g, lambda m: {ADJ})) > 0)), l[1]))]))) AS g FROM pages_lines),
+regions AS (SELECT page_id, list_min(list_transform(g, lambda m: m.idx)) AS idx, array_to_string(list_transform(g, lambda m: m.text), ' ') AS line,
+ list_min(list_transform(g, lambda m: m.x)) AS x, list_min(list_transform(g, lambda m: m.y)) AS y,
+ list_max(list_transform(g, lambda m: m.x + m.w)) - list_min(list_transform(g, lambda m: m.x)) AS w,
+ list_max(list_transform(g, lambda m: m.y + m.h)) - list_min(list_transform(g, lambda m: m.y)) AS h, list_avg(list_transform(g, lambda m: m.conf)) AS conf FROM grp),
+{NMS}, free AS (SELECT *, trim(line) AS s, regexp_replace(line, '[^a-zA-Z]', '', 'g') AS al, {TOKS} AS toks FROM regions r WHERE NOT EXISTS (SELECT 1 FROM kept_rows b WHERE b.cls = 0 AND b.page_id = r.page_id
+ AND r.x < b.x + b.w + 40 AND b.x < r.x + r.w + 40 AND r.y < b.y + b.h + 40 AND b.y < r.y + r.h + 40)),
+real AS (SELECT * FROM free WHERE NOT {JUNK_SQL}), {cleansql.clean_ctes("real")},
+again AS (SELECT real.* EXCLUDE (line, s, al, toks), clean AS line, trim(clean) AS s, regexp_replace(clean, '[^a-zA-Z]', '', 'g') AS al, list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> '') AS toks FROM real JOIN clean ON line = t)
+SELECT page_id, idx, line AS text, x AS "left", y AS top, w AS width, h AS height, round_even(conf, 3) AS conf, row_number() OVER (PARTITION BY page_id ORDER BY floor(y / 200.0::DOUBLE), -x, idx) AS rank
+FROM again WHERE {SCORE.format(t="line")} >= 0 AND NOT {JUNK_SQL}"""
+)
 def free_text_pipeline(spark, d):
     bub = kept(spark, d).filter("cls = 0").select("page_id", "x", "y", "w", "h")
     return pipelines.free_text(ocr_lines(spark, d).withColumn("text", F.upper("text")), bub)
 
 
-@query()
+@query(
+    f"""WITH {LINES}, second AS (SELECT doc_id, line_idx, line AS old, line || ' AND MORE' AS line FROM lines), {cleansql.clean_ctes("second")},
+b AS (SELECT doc_id, line_idx, old, clean, {SCORE.format(t="old")} AS was, {SCORE.format(t="clean")} AS now, list_filter(regexp_split_to_array(old, '\\s+'), lambda w: w <> '') AS toks FROM second JOIN clean ON line = t),
+n AS (SELECT *, (old = '' OR was < 5 OR (len(toks) <= 2 AND length(old) < 10) OR len(list_filter(toks, lambda w: length(replace(w, '''', '')) > 8)) > 0
+ OR (len(toks) > 0 AND list_sum(list_transform(toks, lambda w: length(w))) / len(toks) > 6.5)) AS need, {ACCEPT.format(new="clean", old="old", score="now > was")} AS better FROM b)
+SELECT doc_id AS page_id, line_idx AS idx, CASE WHEN need AND better THEN clean ELSE old END AS text, CASE WHEN need AND better THEN 'improved' WHEN need THEN 'rerun' ELSE 'skipped' END AS decision FROM n"""
+)
 def quality_pass(spark, d):
     b = lines(spark, d).select(c("doc_id").alias("page_id"), c("line_idx").alias("idx"), c("line").alias("text")).withColumn("score", T.ocr_score(c("text")))
     return pipelines.quality_pass(b, b.select("page_id", "idx", F.concat("text", F.lit(" AND MORE")).alias("text")))
@@ -500,7 +533,9 @@ def page_audio(spark, d):
     return pipelines.page_audio(r, known).select("conv_id", "turn", "spoken", "hit")
 
 
-@query()
+@query(
+    f"""WITH {NMS} SELECT page_id, '{{"bubbles":[' || string_agg('{{"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || '}}', ',' ORDER BY rank) || '],"timing":{{"returned":' || count(*) || '}}}}' AS body FROM kept_rows GROUP BY 1"""
+)
 def reply_json(spark, d):
     k = kept(spark, d)
     return envelope(k.select("page_id", "rank", "x", "y", "w", "h"))

@@ -65,3 +65,9 @@ def envelope(regions: DataFrame, page: str = "page_id", name: str = "bubbles") -
 def write_clips(clips: DataFrame, path: str) -> None:
     """Audio clips (key, idx, wav binary) as Parquet."""
     clips.write.mode("append").parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table that comes as fewer splits than there are cores is dealt out anew, any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
