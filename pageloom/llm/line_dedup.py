@@ -78,7 +78,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     A line goes if its key also stands in a document with a smaller id. Rows that share a doc_id are one document; rows
     without doc_id hold no keys and lose nothing. Shorter keys never count.
     """
-    keys = line_keys(docs, min_chars)
+    keys = stored(line_keys(docs, min_chars), "line-keys")  # range bounds are sampled from them, so they would be made twice
     order = ["k1", "k2", "doc_id", "pos"]
     marks = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(_stream), _MARKS), "line-marks")
     # two rows a range partition at most, so their number is that of the partitions
