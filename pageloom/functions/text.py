@@ -271,3 +271,13 @@ def _calm(t: Column) -> Column:
     calm = F.concat(F.upper(F.left(t, F.lit(1))), F.lower(F.substr(t, F.lit(2))))
     calm = _per_match(F.regexp_replace(calm, r"\bi\b", "I"), r"[.!?]\s+[a-z]", F.upper)
     return F.when((n > 0) & (n_upper / n > 0.5), calm).otherwise(t)
+
+
+def shown(text: Column, most: int = 80) -> Column:
+    """The first characters of a text, for a log or a caption."""
+    return F.left(text, F.lit(most))
+
+
+def audio_text(wav: Column) -> Column:
+    """Clip bytes as base64 without line breaks."""
+    return F.replace(F.base64(wav), F.lit("\r\n"), F.lit(""))

@@ -14,7 +14,7 @@ from pageloom.functions import text as T
 from pageloom.operators import boxes, state
 from pageloom.operators.clean import clean_text
 from pageloom.plans import pipelines
-from pageloom.sources.readers import envelope, protected, spread, table, vocabulary
+from pageloom.sources.readers import envelope, page_requests, protected, spread, table, vocabulary
 from pageloom.streaming.sessions import heartbeat_states_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -461,6 +461,73 @@ def protected_words(spark, d):
     return protected(w, vocabulary(n.select(c("n_name").alias("value"))))
 
 
+@query(
+    f"""WITH {DET}, b AS (SELECT *, x + 5 AS bx, y + 3 AS byy, w - 10 AS bw, h // 3 AS bh, greatest(5, CAST(trunc(w * 0.05::DOUBLE) AS INT)) AS px, greatest(5, CAST(trunc(h * 0.05::DOUBLE) AS INT)) AS py FROM det),
+i AS (SELECT *, greatest(x, bx) AS l, greatest(y, byy) AS t, least(x + w, bx + bw) AS r, least(y + h, byy + bh) AS u FROM b), o AS (SELECT *, cls < 2 AND r > l AND u > t AND bw * bh >= 0.2 * w * h AS ok FROM i)
+SELECT page_id, x, y, w, h, cls, greatest(0, x - px) AS pad_x, greatest(0, y - py) AS pad_y, least(420, x + w + px) - greatest(0, x - px) AS pad_w, least(640, y + h + py) - greatest(0, y - py) AS pad_h,
+ CASE WHEN ok THEN l ELSE x END AS fine_x, CASE WHEN ok THEN t ELSE y END AS fine_y, CASE WHEN ok THEN r - l ELSE w END AS fine_w, CASE WHEN ok THEN u - t ELSE h END AS fine_h,
+ CASE WHEN r > l AND u > t THEN (r - l) * (u - t) END AS shared, count(*) AS n FROM o GROUP BY ALL"""
+)
+def region_boxes(spark, d):
+    det = detections(spark, d).withColumn("a", F.struct("x", "y", "w", "h"))
+    det = det.withColumn("b", F.struct((c("x") + 5).alias("x"), (c("y") + 3).alias("y"), (c("w") - 10).alias("w"), F.floor(c("h") / 3).cast("int").alias("h")))
+    box = lambda name: boxes._Box(name)
+    det = det.withColumn("p", G.padded(box("a"), G.crop_pad(c("w")), G.crop_pad(c("h")), F.lit(420), F.lit(640))).withColumn("f", G.refined(c("a"), c("b"), c("cls") == 2))
+    det = det.withColumn("s", G.aligned_overlap(box("a"), box("b")))
+    out = [c(f"p.{f}").alias(f"pad_{f}") for f in "xywh"] + [c(f"f.{f}").alias(f"fine_{f}") for f in "xywh"]
+    return det.groupBy("page_id", "x", "y", "w", "h", "cls", *out, (c("s.w") * c("s.h")).alias("shared")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {NMS} SELECT page_id, rank, row_number() OVER (PARTITION BY page_id ORDER BY floor(y / 150.0::DOUBLE), CASE WHEN page_id % 2 = 0 THEN -x ELSE x END, rank) AS place FROM kept_rows"""
+)
+def client_order(spark, d):
+    k = kept(spark, d).select("page_id", c("rank").alias("idx"), c("x").alias("left"), c("y").alias("top"))
+    out = boxes.reading_order(k, band=150, direction=F.when(c("page_id") % 2 == 0, "rtl").otherwise("ltr"))
+    return out.select("page_id", c("idx").alias("rank"), c("rank").cast("long").alias("place"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, string_agg('[' || line_idx || '] ' || line, chr(10) ORDER BY line_idx) AS listing FROM lines GROUP BY 1")
+def numbered_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.numbered_listing(F.split("text", "\n")).alias("listing"))
+
+
+@query(
+    """SELECT o_orderkey, 1.0::DOUBLE / greatest(0.5, o_totalprice / 100000) AS scale, CASE WHEN o_custkey % 7 > 0 THEN CAST(floor(o_orderkey % 7 * 100.0::DOUBLE / (o_custkey % 7) + 0.5) AS INT) END AS percent, left(o_orderpriority, 4) AS shown FROM orders"""
+)
+def speech_controls(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", T.length_scale(c("o_totalprice") / 100000).alias("scale"), T.progress(c("o_orderkey") % 7, c("o_custkey") % 7).alias("percent"), T.shown(c("o_orderpriority"), 4).alias("shown"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END AS voice, round_even(1.0::DOUBLE + turn / 30000.0::DOUBLE, 4) AS speed FROM conversations),
+k AS (SELECT DISTINCT text, voice, speed FROM r WHERE conv_id % 3 = 0) SELECT r.conv_id, r.turn, r.speed, k.text IS NOT NULL AS hit FROM r LEFT JOIN k USING (text, voice, speed)"""
+)
+def clip_lookup(spark, d):
+    r = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.when(c("turn") % 2 == 0, "a").otherwise("b").alias("voice"), (1.0 + c("turn") / 30000.0).alias("speed"))
+    key = T.cache_key(c("text"), c("voice"), c("speed"))
+    r = r.withColumn("key", key).select("conv_id", "turn", "key.*")
+    known = r.filter("conv_id % 3 = 0").select("text", "voice", "speed").distinct().withColumn("wav", F.encode("text", "UTF-8"))
+    return state.cached(r, known, ["text", "voice", "speed"], "wav").select("conv_id", "turn", "speed", "hit")
+
+
+SITES = [h for h in lexicon.READER_HOSTS if h.startswith("*.")]
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, [{",".join(f"'{h[2:]}'" for h in SITES)}][CAST(page_id % {len(SITES)} AS INT) + 1] AS host, page_id % 4 AS kind FROM pages)
+SELECT page_id, CASE kind WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN host IN ({",".join(f"'{h}'" for h in lexicon.READER_HOSTS if not h.startswith("*."))}) OR list_contains([{",".join(f"'{h[2:]}'" for h in SITES)}], host) ELSE false END AS listed,
+ CASE WHEN kind = 3 THEN 400 ELSE 200 END AS status FROM h"""
+)
+def reader_pages(spark, d):
+    host = F.element_at(F.array(*(F.lit(h[2:]) for h in SITES)), (c("page_id") % len(SITES)).cast("int") + 1)
+    url = F.concat(F.lit("https://"), F.when(c("page_id") % 4 == 1, "READ.").when(c("page_id") % 4 == 3, "x").otherwise(""), host, F.when(c("page_id") % 4 == 3, ".example").otherwise(""), F.lit("/a?b=c"))
+    body = F.to_json(F.struct(F.when(c("page_id") % 4 < 3, F.base64(F.encode("url", "UTF-8"))).alias("image"), F.lit(2.0).alias("dpr")))
+    p = table(spark, d, "pages").select("page_id", url.alias("at"), body.alias("body"))
+    return page_requests(p).select("page_id", T.host_matches(c("at")).alias("listed"), "status")
+
+
 # ---- composites ----
 
 

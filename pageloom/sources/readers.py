@@ -71,3 +71,33 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a table that comes as fewer splits than there are cores is dealt out anew, any other stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Defaults of the settings that a client keeps.
+SETTINGS = {"voice": "default", "speed": "1.0", "overlay": "true", "autoRead": "false", "showMarks": "true", "freeText": "false"}
+
+
+def settings(spark: SparkSession, prefix: str = "pageloom.") -> dict[str, str]:
+    """The settings as the session has them, defaults where it has none."""
+    return {k: spark.conf.get(prefix + k, v) for k, v in SETTINGS.items()}
+
+
+def write_log(path: str):
+    """foreachBatch writer of log lines (column msg) as text, a folder for each micro-batch, so a repeated batch isn't doubled."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.select(F.col("msg").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def stage_times(spark: SparkSession) -> DataFrame:
+    """stage_id, name and ms of the finished stages of this application, from Spark's own status store."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    rows = []
+    for i in range(found.size()):
+        s = found.apply(i)
+        if s.completionTime().isDefined() and s.submissionTime().isDefined():
+            rows.append((s.stageId(), s.name(), s.completionTime().get().getTime() - s.submissionTime().get().getTime()))
+    return spark.createDataFrame(rows, "stage_id int, name string, ms long")
