@@ -108,3 +108,39 @@ def digits_read(t: str) -> str:
         beside = f"({among(after, lexicon.UNIT_WORDS)} OR {among(before, lexicon.UNIT_WORDS)})"
         out = f"CASE WHEN {able} AND {found}[1] = '{number}' AND NOT {beside} THEN {swap(t, f'\\b{number}\\b', letter)} ELSE {out} END"
     return out
+
+
+def each_match(t: str, pattern: str, change) -> str:
+    """t with change(match) for every match."""
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({t}, {text(pattern)}), regexp_extract_all({t}, {text(pattern)})), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE {change('z[2]')} END), '')"
+
+
+def spoken_ctes(source: str, small: str, column: str = "line") -> str:
+    """CTEs up to spoken(t, spoken): the speech form of each distinct text of source. small: a list of the words of 0 to 999."""
+
+    def number(v: str) -> str:
+        return f"""CASE WHEN {v} = 0 THEN 'zero' ELSE trim(CASE WHEN {v} >= 1000000 THEN small[{v} // 1000000 + 1] || ' million ' ELSE '' END ||
+ CASE WHEN {v} // 1000 % 1000 > 0 THEN small[{v} // 1000 % 1000 + 1] || ' thousand ' ELSE '' END || CASE WHEN {v} % 1000 > 0 THEN small[{v} % 1000 + 1] ELSE '' END) END"""
+
+    def plain(m: str) -> str:
+        return f"CASE WHEN length(ltrim({m}, '0')) <= 9 THEN {number(f'CAST({m} AS BIGINT)')} ELSE {m} END"
+
+    def ordinal(m: str) -> str:
+        w = number(f"CAST(regexp_extract({m}, '^\\d+') AS BIGINT)")
+        return f"""CASE lower({m}) WHEN '1st' THEN 'first' WHEN '2nd' THEN 'second' WHEN '3rd' THEN 'third' ELSE CASE WHEN {w} LIKE '%y' THEN left({w}, -1) || 'ieth' WHEN {w} LIKE '%ve' THEN left({w}, -2) || 'fth'
+ WHEN {w} LIKE '%t' AND {w} NOT LIKE '%ht' THEN {w} || 'h' WHEN {w} LIKE '%e' AND {w} NOT LIKE '%le' THEN left({w}, -1) || 'th' ELSE {w} || 'th' END END"""
+
+    c = {"p0": f"SELECT DISTINCT {column} AS t, {small} AS small FROM {source} WHERE {column} IS NOT NULL"}
+    read = each_match("t", "[0-9O][0-9O,.:]+[0-9O]", lambda m: f"CASE WHEN regexp_matches({m}, '[0-9]') THEN replace({m}, 'O', '0') ELSE {m} END")
+    c["p1"] = f"SELECT t, small, {read} AS u FROM p0"
+    c["p2"] = f"SELECT t, small, {each_match('u', '\\bOOO+\\b', lambda m: f"replace({m}, 'O', '0')")} AS u FROM p1"
+    c["p3"] = f"SELECT t, small, {swap(swap('u', '(\\d)\\.(\\d{3,})', '\\1\\2'), '\\b([A-Za-z]{2,6})-([A-Za-z]{2,6})\\b', '\\1\\2')} AS u FROM p2"
+    upper = f"length({swap('u', '[^\\p{L}]', '')}) > 0 AND length({swap('u', '[^\\p{Lu}]', '')}) / length({swap('u', '[^\\p{L}]', '')}) > 0.5"
+    c["p4"] = f"SELECT t, small, u, {upper} AS loud, {swap('upper(left(u, 1)) || lower(substr(u, 2))', '\\bi\\b', 'I')} AS low FROM p3"
+    c["p5"] = f"SELECT t, small, CASE WHEN loud THEN {each_match('low', '[.!?]\\s+[a-z]', lambda m: f'upper({m})')} ELSE u END AS u FROM p4"
+    c["p6"] = f"SELECT t, small, {swap(each_match('u', '(?i)\\b\\d+(?:st|nd|rd|th)\\b', ordinal), '(\\d),(\\d)', '\\1\\2')} AS u FROM p5"
+    u = each_match("u", "\\b\\d+\\b", plain)
+    for pattern, new in (("!{2,}", "!"), ("\\?{2,}", "?"), ("\\.{2,}", "."), ("([!?])[!?]+", "\\1")):
+        u = swap(u, pattern, new)
+    c["spoken"] = f"SELECT t, {u} AS spoken FROM p6"
+    return ", ".join(f"{name} AS MATERIALIZED ({body})" for name, body in c.items())

@@ -307,7 +307,7 @@ def clean_lines(spark, d):
     return clean_text(lines(spark, d), "line").select("doc_id", "line_idx", "clean")
 
 
-@query()
+@query(f"WITH {LINES}, {cleansql.spoken_ctes('lines', SMALL)} SELECT doc_id, line_idx, spoken FROM lines JOIN spoken ON line = t")
 def tts_prepare(spark, d):
     return T.tts_prepare(lines(spark, d), "line").select("doc_id", "line_idx", "spoken")
 
@@ -593,7 +593,10 @@ def quality_pass(spark, d):
     return pipelines.quality_pass(b, b.select("page_id", "idx", F.concat("text", F.lit(" AND MORE")).alias("text")))
 
 
-@query()
+@query(
+    f"""WITH conv AS (SELECT conv_id, turn, text AS line FROM conversations), {cleansql.spoken_ctes("conv", SMALL)}, s AS (SELECT conv_id, turn, spoken FROM conv LEFT JOIN spoken ON line = t)
+SELECT conv_id, turn, spoken, coalesce(spoken IN (SELECT spoken FROM s WHERE turn = 0 AND spoken IS NOT NULL), false) AS hit FROM s"""
+)
 def page_audio(spark, d):
     r = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lit("v").alias("voice"), F.lit(1.0).alias("speed"))
     known = T.tts_prepare(r.filter("turn = 0")).select("spoken", "voice", "speed").distinct().withColumn("wav", F.encode("spoken", "UTF-8"))
