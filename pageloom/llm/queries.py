@@ -81,23 +81,29 @@ def op10_mixing(spark, d):
     return mixing.schedule(table(spark, d, "documents").select("doc_id", "source"))
 
 
-_T = " UNION ALL ".join(f"SELECT '{k}' AS licence, '{v}' AS wording" for k, v in licenses.TEMPLATES.items())
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_T = ", ".join(f"({_Q(k)}, {i}, {_Q(w)})" for k, ws in licenses.TEMPLATES.items() for i, w in enumerate(ws))
+_PARTS = f"regexp_split_to_array(text, {_Q('\\n[ \\t/#*;-]*\\n')})"
 
 
 @query(
-    f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(list_concat([coalesce(source, '')], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: left(CAST(doc_id AS VARCHAR), i))), '/') AS path FROM documents),
-heads AS (SELECT doc_id, path, trim(unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.SIGNS}'))), ' ') AS line FROM docs),
-lines AS (SELECT line, count(*) AS n FROM heads GROUP BY 1), total AS (SELECT sum(n)::DOUBLE AS total FROM lines),
+    f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(list_concat([coalesce(source, '-')], list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: left(CAST(doc_id AS VARCHAR), i))), '/') AS path FROM documents),
+signed AS (SELECT * FROM docs WHERE regexp_matches(text, '{licenses.SIGNS}')),
+heads AS (SELECT doc_id, path, unnest(list_concat(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.SIGNS}')), lambda x: CASE WHEN regexp_matches(x, '{licenses.SPDX}')
+  THEN 'spdx' || regexp_replace(regexp_replace(lower(regexp_extract(x, '{licenses.SPDX}', 1)), '-or-later$|-only$|[+]$', ''), '[^a-z0-9]', '', 'g') ELSE trim(x, ' ') END),
+ list_transform(list_filter({_PARTS}, lambda x: contains(x, chr(10)) AND regexp_matches(x, '{licenses.SIGNS}')), lambda x: trim(x, ' ')),
+ CASE WHEN regexp_matches(text, '{licenses.BODY}') AND len({_PARTS}) > 1 THEN [trim(text, ' ')] ELSE CAST([] AS VARCHAR[]) END)) AS line FROM signed),
+lines AS (SELECT line, count(*) AS n FROM heads GROUP BY 1), total AS (SELECT coalesce(sum(n), 0)::DOUBLE AS total FROM lines),
 tf AS (SELECT line, term, count(*) AS tf, any_value(n) AS n FROM (SELECT line, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines) GROUP BY 1, 2),
-df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1), t AS ({_T}),
-words AS (SELECT licence, term, count(*) * (1 + ln((1.0 + total) / (1 + coalesce(any_value(df), 0)))) AS wt FROM (SELECT licence, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS term FROM t) LEFT JOIN df USING (term), total GROUP BY licence, term, total),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY 1), t(licence, i, wording) AS (VALUES {_T}),
+words AS (SELECT licence, i, term, count(*) * (1 + ln((1.0 + total) / (1 + coalesce(any_value(df), 0)))) AS wt FROM (SELECT licence, i, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS term FROM t) LEFT JOIN df USING (term), total GROUP BY licence, i, term, total),
 weighed AS (SELECT line, term, tf * (1 + ln((1.0 + total) / (1 + df))) AS wl FROM tf JOIN df USING (term), total),
-scored AS (SELECT line, licence, round(dot / (nl * nt), 6) AS cosine FROM (SELECT line, licence, sum(wl * wt) AS dot FROM weighed JOIN words USING (term) GROUP BY 1, 2)
- JOIN (SELECT line, sqrt(sum(wl * wl)) AS nl FROM weighed GROUP BY 1) USING (line) JOIN (SELECT licence, sqrt(sum(wt * wt)) AS nt FROM words GROUP BY 1) USING (licence)),
+scored AS (SELECT line, licence, round(dot / (nl * nt), 6) AS cosine FROM (SELECT line, licence, i, sum(wl * wt) AS dot FROM weighed JOIN words USING (term) GROUP BY 1, 2, 3)
+ JOIN (SELECT line, sqrt(sum(wl * wl)) AS nl FROM weighed GROUP BY 1) USING (line) JOIN (SELECT licence, i, sqrt(sum(wt * wt)) AS nt FROM words GROUP BY 1, 2) USING (licence, i)),
 found AS (SELECT * FROM scored WHERE cosine >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1),
 own AS (SELECT doc_id, path, licence, cosine FROM heads JOIN found USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, licence) = 1),
-ruled AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence, cosine FROM own QUALIFY row_number() OVER (PARTITION BY dir ORDER BY doc_id) = 1),
-up AS (SELECT d.doc_id, d.path, array_to_string(list_slice(s, 1, i), '/') AS dir FROM (SELECT doc_id, path, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')))) AS i FROM docs) d),
+ruled AS (SELECT array_to_string(string_split(path, '/')[:-2], '/') AS dir, licence, cosine FROM own QUALIFY row_number() OVER (PARTITION BY dir ORDER BY NOT regexp_matches(path, '{licenses.LICENCE_FILE}'), doc_id) = 1),
+up AS (SELECT d.doc_id, d.path, array_to_string(list_slice(s, 1, i), '/') AS dir FROM (SELECT doc_id, path, string_split(path, '/') AS s, unnest(range(0, len(string_split(path, '/')))) AS i FROM docs) d),
 near AS (SELECT doc_id, path, dir, licence, cosine FROM up JOIN ruled USING (dir) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) = 1)
 SELECT d.doc_id, d.path, coalesce(o.licence, n.licence) AS licence, coalesce(o.cosine, n.cosine) AS cosine, CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
  CASE WHEN o.licence IS NULL THEN n.dir END AS from_dir FROM docs d LEFT JOIN own o ON o.doc_id = d.doc_id LEFT JOIN near n ON n.doc_id = d.doc_id"""
