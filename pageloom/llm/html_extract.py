@@ -9,25 +9,31 @@ here, on pages that generated_page() makes with known labels.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as entities
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, tidy, to_batch
+from pageloom.llm.common import shared_dir, slices, tidy, to_batch
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|select|svg|iframe|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<[/a-zA-Z][^<>]*\Z""", re.S | re.I)
+#: What follows a tag's name up to its end: a quoted value counts as one piece, a quote that isn't closed as a character.
+REST = re.compile(r"""[^>"'=]*+(?:(?:=\s*+(?:"[^"]*+"|'[^']*+')|["'=])[^>"'=]*+)*+>""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: Elements whose content is no text of the page.
+RAW = {t: re.compile(rf"</{t}[^>]*>", re.I) for t in "script style noscript template title textarea select svg iframe object".split()}
 ATTRS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BREAKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag that such an opening tag ends.
 ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-PATH, WORDS, MEASURES, HIDDEN = 256, 16, 7, 16
+PATH, WORDS, MEASURES, HIDDEN = 512, 16, 7, 16
 SIZE = PATH + WORDS + MEASURES
 
 
@@ -42,44 +48,93 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *(f".{x}" for x in re.split(r"[^a-z]+", found) if x))
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, names on its path, characters in links) of each block with text, in page order.
+def tags(page: str):
+    """(start, end, name, closes, attributes) of each piece of mark-up in page order; name is '' for what gives no tag.
+
+    One pass: nothing that was read is read again, however malformed the page. A tag that the page's end cuts off is
+    mark-up up to the end, and so is a comment or a raw element without its end.
+    """
+    at, n = 0, len(page)
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            return
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = n if j < 0 else j + 3
+            yield i, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), i):
+            j = page.find(">", i)
+            at = n if j < 0 else j + 1
+            yield i, at, "", False, ""
+            continue
+        closes = page.startswith("</", i)
+        m = NAME.match(page, i + 1 + closes)
+        if m is None:
+            at = i + 1  # a "<" of the text
+            continue
+        end = REST.match(page, m.end())
+        if end is None:
+            yield i, n, "", False, ""
+            return
+        name, at = m.group().lower(), end.end()
+        if name in RAW and not closes:
+            stop = RAW[name].search(page, at)
+            at = n if stop is None else stop.end()
+            yield i, at, "", False, ""
+            continue
+        yield i, at, name, closes, end.group()
+
+
+def _mask(names: tuple[str, ...]) -> int:
+    out = 0
+    for x in names:
+        out |= 1 << _slot(x, PATH)
+    return out
+
+
+def blocks(page: str) -> list[tuple[str, int, str, int]]:
+    """(text, hashed names on its path as bits, innermost tag, characters in links) of each block with text, in page order.
 
     A block is the text between two block-level tags, character references decoded, white space one space. Scripts,
     styles, titles, comments and tags give no text; a tag cut off by the end of the page is dropped.
     """
-    out, stack, buf, linked, in_link, at = [], [], [], 0, 0, 0
+    out, stack, buf, linked, in_link, at = [], [("", 0)], [], 0, 0, 0
+    opened: dict[str, int] = {}
 
     def close():
         nonlocal buf, linked
         if buf:
             text = " ".join(entities.unescape("".join(buf)).split())
             if text:
-                out.append((text, tuple(n for names in stack for n in names), min(linked, len(text))))
+                out.append((text, stack[-1][1], stack[-1][0], min(linked, len(text))))
             buf, linked = [], 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def pop():
+        tag, _ = stack.pop()
+        opened[tag] -= 1
+
+    for start, end, tag, closes, attrs in tags(page):
+        if start > at:
+            piece = page[at:start]
             buf.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m.group(2):
+        if closes:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag not in BREAKS:
                 continue
             close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    in_link = 0
-                    break
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+                in_link = 0
             continue
         if tag == "a":
             in_link = 1
@@ -90,9 +145,10 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         close()
         if tag in VOID:
             continue
-        while stack and stack[-1][0] in ENDS.get(tag, {"p"} if tag in BREAKS else ()):
-            stack.pop()
-        stack.append(_names(tag, m.group(4)))
+        while stack[-1][0] in ENDS.get(tag, {"p"}):
+            pop()
+        stack.append((tag, stack[-1][1] | _mask(_names(tag, attrs))))
+        opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         buf.append(page[at:])
     close()
@@ -100,11 +156,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 
 @functools.lru_cache(100_000)
-def _path(names: tuple[str, ...]) -> np.ndarray:
-    x = np.zeros(PATH, np.float32)
-    for n in names:
-        x[_slot(n, PATH)] = 1
-    return x
+def _path(mask: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
 @functools.lru_cache(200_000)
@@ -112,17 +165,15 @@ def _word(word: str) -> int:
     return _slot(word, WORDS)
 
 
-def vectors(page_blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def vectors(page_blocks: list[tuple[str, int, str, int]]) -> np.ndarray:
+    """A row a block: its hashed path, the shares of its words by hash (all words), and a few measures."""
     x = np.zeros((len(page_blocks), SIZE), np.float32)
-    for i, (text, names, linked) in enumerate(page_blocks):
-        x[i, :PATH] = _path(names)
+    for i, (text, mask, tag, linked) in enumerate(page_blocks):
+        x[i, :PATH] = _path(mask)
         toks = text.lower().split()
-        for w in toks[:64]:
-            x[i, PATH + _word(w)] += 1
+        x[i, PATH : PATH + WORDS] = np.bincount(list(map(_word, toks)), minlength=WORDS) / len(toks)
         n = len(text)
-        x[i, PATH : PATH + WORDS] /= max(1, min(64, len(toks)))
-        last = next((m for m in reversed(names) if m[0] != "."), "")
-        x[i, PATH + WORDS :] = (np.log1p(n) / 8, linked / n, text[-1] in ".!?…", last[:1] == "h" and last[1:].isdigit(), len(toks) > 12, "©" in text, i / len(page_blocks))
+        x[i, PATH + WORDS :] = (np.log1p(n) / 8, linked / n, text[-1] in ".!?…", tag[:1] == "h" and tag[1:].isdigit(), len(toks) > 12, "©" in text, i / len(page_blocks))
     return x
 
 
@@ -214,16 +265,16 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 _PIECES = "an er on the re ti ou st en th ing ar el um qua zo ve ri mel dor fi ba ché ñu öl ka".split()
 _FURNITURE = {
-    "nav": ("nav", "div.menu", "ul.nav", "div.navbar", "div.breadcrumbs", "div.topbar", "div.navigation"),
-    "header": ("header", "div.header", "div.masthead", "div.banner", "div.logo"),
-    "footer": ("footer", "div.footer", "div#footer", "div.copyright", "div.bottom"),
-    "side": ("aside", "div.sidebar", "div#sidebar", "div.widget", "div.related", "section.related", "div.promo", "div.share", "div.social", "div.tags"),
+    "nav": ("nav", "div.menu", "ul.nav", "div.navbar", "div.breadcrumbs", "div.topbar", "div.navigation", "div.toolbar", "div.tabs", "div.pagination", "div.links", "ul.list"),
+    "header": ("header", "div.header", "div.masthead", "div.banner", "div.logo", "div.top", "div.brand", "div.hero"),
+    "footer": ("footer", "div.footer", "div#footer", "div.copyright", "div.bottom", "div.colophon", "div.legal", "div.imprint", "div.credits", "div.site.info", "p.small"),
+    "side": ("aside", "div.sidebar", "div#sidebar", "div.widget", "div.related", "section.related", "div.promo", "div.share", "div.social", "div.tags", "div.rail", "div.right", "div.column", "section.recommended", "div.more", "div.trending", "div.author"),
     "ad": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "section.ad", "div.banner.ad"),
     "notice": ("div.cookie", "div.cookie.notice", "div.notice", "div.consent", "div.newsletter", "div.popup", "div.modal", "div.alert"),
     "form": ("form", "form.search", "form.login", "div.form", "div.subscribe"),
     "comments": ("section.comments", "div.comments", "div#comments", "ol.comments", "div.comment", "section#comments", "div.replies", "div.responses"),
 }
-_MAINS = ("article", "main", "div.content", "div#content", "div.post", "section.post", "div.article", "main>article", "div.main>div.entry", "div.story", "div.text", "div.body", "article.post>div.entry.content")
+_MAINS = ("article", "main", "div.content", "div#content", "div.post", "section.post", "div.article", "main>article", "div.main>div.entry", "div.story", "div.text", "div.body", "article.post>div.entry.content", "div.page>div.copy", "div.wrapper>section.reading", "td.main", "div.hentry")
 _STOCK = {"form": "Search Submit Email Login Password Sign up", "notice": "We use cookies Accept Close Subscribe to our newsletter", "comments": "Reply Comments says ago like", "footer": "© All rights reserved Privacy Terms Contact", "nav": "Home About News Contact", "ad": "Advertisement Buy now Sponsored", "side": "Related Popular Share Tags Recent posts", "header": "Welcome Menu"}
 
 
@@ -234,7 +285,7 @@ def generated_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]
 
     def words(n: int) -> str:
         noise, loud = r.random() < 0.15, r.random() < 0.1
-        out = ["".join(pick(_PIECES) for _ in range(int(r.integers(1, 4)))) + (pick(("###", "$$$", "%%%", "***", "&&&")) if noise else "") for _ in range(max(1, n))]
+        out = ["".join(pick(_PIECES) for _ in range(int(r.integers(1, 4)))) + ("".join(pick("#$%*&@~^+=|<>{}") for _ in range(int(r.integers(1, 5)))) if noise else "") for _ in range(max(1, n))]
         if loud:
             return pick((" | ".join(out), "!! ".join(out).upper() + "!!", " ".join(out[:1] * len(out))))
         return " ".join(out).capitalize() + pick((".", ".", ".", "", "!", "?"))
@@ -256,7 +307,10 @@ def generated_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]
         line = lambda: pick(stock) if r.random() < 0.4 else words(int(r.integers(1, 25 if kind in ("ad", "comments", "notice", "footer", "side") else 4)))
         spec, style = pick(_FURNITURE[kind]), r.random()
         if kind in ("nav", "side") and style < 0.6:
-            inner = "<ul>" + "".join(f'<li><a href="/{i}">{put(line(), False)}</a></li>' for i in range(int(r.integers(1, 8)))) + "</ul>"
+            head = pick(("h2", "h3", "h4"))
+            inner = f"<{head}>{put(words(int(r.integers(1, 4))), False)}</{head}>" if r.random() < 0.4 else ""
+            inner += "<ul>" + "".join(f'<li><a href="/{i}">{put(line(), False)}</a></li>' for i in range(int(r.integers(2, 8)))) + "</ul>"
+            spec = spec if r.random() < 0.8 else "div." + "".join(pick(_PIECES) for _ in range(3))  # a name that says nothing
         elif style < 0.5:
             inner = put(line(), False)
         else:
@@ -277,14 +331,17 @@ def generated_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]
             elif style < 0.8:
                 out.append(f"<h{int(r.integers(2, 5))}>{put(words(int(r.integers(1, 7))), True)}</h2>")
             elif style < 0.87:
+                if r.random() < 0.5:
+                    out.append(f"<h{int(r.integers(2, 5))}>{put(words(int(r.integers(1, 7))), True)}</h2>")
                 out.append("<ul>" + "".join(f"<li>{put(words(int(r.integers(1, 12))), True)}</li>" for _ in range(int(r.integers(1, 5)))) + "</ul>")
             elif style < 0.92:
                 out.append(f"<blockquote>{put(words(n), True)}</blockquote>")
             elif style < 0.96:
-                out.append(f'<p>{put(words(3), True).rstrip(".")}</p><div>{put(words(n), True)}</div>')
+                out.append(f'<p>{put(words(3).rstrip("."), True)}</p><div>{put(words(n), True)}</div>')
             else:
                 out.append(furniture(pick(("ad", "form", "side", "notice", "comments"))))
-        return wrap(pick(_MAINS), "".join(out))
+        spec = pick(_MAINS) if len(out) < 4 or r.random() < 0.6 else pick(("div.", "section.")) + "".join(pick(_PIECES) for _ in range(3)) + pick(("", ".body", ".page", ".text"))
+        return wrap(spec, "".join(out))
 
     top = [k for k in ("notice", "header", "nav", "form", "ad", "side") if r.random() < 0.5]
     tail = [k for k in ("side", "comments", "ad", "form", "notice", "nav") if r.random() < 0.4]
@@ -308,7 +365,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @functools.lru_cache(1)
-def trained(n_pages: int = 1400, epochs: int = 8, seed: int = 11) -> Labeller:
+def trained(n_pages: int = 1800, epochs: int = 9, seed: int = 11) -> Labeller:
     """The labeller fitted by Adam on generated pages. The same on every machine that rounds alike; made once a process."""
     data, net, r = labelled_pages(n_pages, seed), Labeller(), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -317,7 +374,9 @@ def trained(n_pages: int = 1400, epochs: int = 8, seed: int = 11) -> Labeller:
     for epoch in range(epochs):
         rate = 0.02 if epoch < epochs * 0.6 else 0.005
         order = r.permutation(len(data))
-        for s in range(0, len(order), 32):
+        # pages of like length in a batch, batches in any order
+        order = np.concatenate([sorted(order[s : s + 256], key=lambda k: len(data[k][1])) for s in range(0, len(order), 256)])
+        for s in r.permutation(range(0, len(order), 32)):
             part = [data[k] for k in order[s : s + 32]]
             x, mask = padded([p[0] for p in part])
             y = np.zeros_like(mask)
@@ -331,6 +390,25 @@ def trained(n_pages: int = 1400, epochs: int = 8, seed: int = 11) -> Labeller:
     return net
 
 
+def stored_labeller(spark: SparkSession) -> Labeller:
+    """The trained labeller from the shared folder; trained and put there if no run before did. The name holds all that the weights depend on."""
+    with open(__file__, "rb") as f:
+        version = hashlib.sha256(f.read() + np.__version__.encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/html-labeller-{version}"
+    try:
+        rows = spark.read.schema("name string, shape array<int>, weights binary").parquet(path).collect()  # ten rows
+    except AnalysisException:
+        rows = []
+    net = Labeller()
+    if {r.name for r in rows} == net.w.keys():
+        net.w = {r.name: np.frombuffer(bytes(r.weights), "<f4").reshape(r.shape).copy() for r in rows}
+        return net
+    net = trained()
+    rows = [(k, list(w.shape), bytearray(w.astype("<f4").tobytes())) for k, w in net.w.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
+
+
 def main_text(pages: list[str], net: Labeller) -> list[str]:
     cut = [blocks(p) for p in pages]
     keep = net.label([vectors(c) for c in cut])
@@ -340,9 +418,10 @@ def main_text(pages: list[str], net: Labeller) -> list[str]:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """page_id, url, text of every row: its main blocks, in order, joined by two line feeds.
 
-    Null and empty pages, and pages without a main block, give an empty text. Pages of any length are read whole.
+    Null and empty pages, and pages without a main block, give an empty text. Pages of any length, however malformed, are
+    read whole in time that grows with their length. Repeated rows are rows of their own; other columns don't matter.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(trained())  # about 20,000 weights
+    shared = pages.sparkSession.sparkContext.broadcast(stored_labeller(pages.sparkSession))  # about 40,000 weights
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches):
