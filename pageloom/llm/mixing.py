@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import stored
 
-PERIOD, BLOCK_DOCS, ALPHA, ID_RANGE = 1000, 16, 0.9, 1024
+PERIOD, BLOCK_DOCS, ALPHA, ID_BITS = 1000, 16, 0.9, 10
 SLOTS_EACH = 32
 
 
@@ -66,9 +66,9 @@ def period_schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
 def ranked(docs: DataFrame) -> DataFrame:
     """docs with place: the rank of a row in its source by doc_id, from 0, without a window over a whole source.
 
-    Ranges of ID_RANGE ids are counted first; only their counts are summed along a source.
+    Ranges of 2**ID_BITS ids are counted first; only their counts are summed along a source.
     """
-    docs = docs.withColumn("_range", F.floor(F.col("doc_id") / ID_RANGE))
+    docs = docs.withColumn("_range", F.shiftright("doc_id", ID_BITS))
     counts = docs.groupBy("source", "_range").agg(F.count("*").alias("_n"))
     # two levels, so that no window sees more than a fraction of a source's ranges
     counts = counts.withColumn("_top", F.floor(F.col("_range") / 64))
@@ -89,13 +89,15 @@ def schedule(docs: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS
     Blocks of block_docs documents of a source, by doc_id, run in its slots. The mix ends with the slot in which the last
     source has run all its blocks once; sources done earlier start over (epoch 1, 2 ...), so every row is in the mix and
     each source's count of slots stays within one block of its weight. A null source is a source named ''. Rows without
-    doc_id come first in their source; repeated rows are rows of their own. docs may have a column _tie that orders rows
-    of one doc_id. With carry, row holds all columns of docs. The period is whole_period's, so no source is without slots.
+    doc_id come first in their source, in the order of a hash of their columns, which also orders rows of one doc_id (a
+    column _tie of docs does instead if there is one); repeated rows are rows of their own. With carry, row holds all
+    columns of docs. The period is whole_period's, so no source is without slots.
     """
     whole = F.struct(*docs.columns).alias("row") if carry else None
     if "_tie" not in docs.columns:
-        docs = docs.withColumn("_tie", F.lit(0))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("source"), "_tie", *([whole] if carry else []))
+        docs = docs.withColumn("_tie", F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
+    # rows without an id get numbers below all ids, spread so that no range holds them all
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64("_tie"), F.lit(1 << 40)) - F.lit(1 << 62)).alias("doc_id"), F.col("doc_id").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("source"), "_tie", *([whole] if carry else []))
     sizes = stored(docs.groupBy("source").agg(F.count("*").alias("n")), "mix-sizes")
     period = whole_period(sizes.count(), period)
     weights = target_weights(sizes, period, alpha)

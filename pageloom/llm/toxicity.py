@@ -142,17 +142,22 @@ def fit(labelled: list[tuple[int, bytes, list[int]]], categories: list[str], per
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled: int = MAX_LABELLED) -> Chain:
-    """Fit on at most max_labelled labelled rows, the first by hash of doc_id; rows with a null label are left out."""
+    """Fit on at most max_labelled labelled documents, the first by hash of doc_id; rows with a null label are left out.
+
+    A document that has several rows counts once, by the first of its texts; one that has several labels by the largest.
+    """
     known = labels.select("doc_id", *categories).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")  # max_labelled rows
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     found = rows.select("doc_id", "text").mapInArrow(tidy(_distinct), "doc_id long, keys binary, n_words long").collect()
     targets = {r.doc_id: [int(r[c]) for c in categories] for r in few.collect()}
     return fit([(r.doc_id, bytes(r["keys"]), targets[r.doc_id]) for r in found], categories)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id and p_<category> for every row of docs. Null and empty texts have no features and get the bias."""
+    """doc_id and p_<category> for every row of docs. Null and empty texts have no features and get the bias; an empty table
+    gives no rows, repeated rows the same answer, and other columns of docs don't matter."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights
     names = [f"p_{c}" for c in chain.categories]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.float64()) for n in names)])
