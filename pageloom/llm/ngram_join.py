@@ -11,10 +11,10 @@
 3. Sets that meet at a shingle are first compared with a few pivots of their size
    there, if they meet those often. Verified links give clusters.
 4. What is left are shingles at which different clusters meet. There the count
-   vectors go in an R-tree, at first to link each set with its nearest partner of
-   another cluster, then for all pairs that are left; pairs of nodes whose summed
-   coordinate minima can't reach the overlap are cut, and so are pairs of points.
-   The pairs that survive are verified on their whole texts.
+   vectors go in an R-tree, at first, where many sets meet, to link each with its
+   nearest partner of another cluster, then for all pairs that are left; pairs of
+   nodes whose summed coordinate minima can't reach the overlap are cut, and so are
+   pairs of points. The pairs that survive are verified on their whole texts.
 
 Shingles that more than HOT sets share are left out by every set that has fewer than l
 of them, as it meets its partners at others; sets that remain there are dealt out by
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import narrowed, slices, small_batches, stored, text_or_empty, tidy, to_batch
+from pageloom.llm.common import discard, narrowed, slices, small_batches, stored, text_or_empty, tidy, to_batch
 from pageloom.llm.components import components
 from pageloom.llm.wordhash import mix, shingle_sets
 
@@ -544,7 +544,8 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75, hot: int = HOT) ->
         times = met_pairs.groupBy("a", "b").agg(F.sum("n").alias("times"))
         return named(times.join(sets.select(F.col("s1").alias("b"), "n"), "b").filter(F.col("times") * 20 >= F.col("n")))
 
-    links = verified(stored(often(met.filter("kind = 0")), "ngram-pivots"), docs, k, pct)
+    pairs = stored(often(met.filter("kind = 0")), "ngram-pivots")
+    links = verified(pairs, docs, k, pct)
     crowded = met.filter("kind = 3").groupBy(F.col("a").alias("h")).agg(F.sum("b").alias("m"))
     slack = crowded.limit(1).count() > 0
     rows = met.filter("kind in (1, 2)").select(F.col("a").alias("h"), F.col("b").alias("s1"), "n", "p", "kind")
@@ -555,35 +556,34 @@ def ngram_groups(docs: DataFrame, k: int = 5, pct: int = 75, hot: int = HOT) ->
     else:
         rows = rows.withColumn("met", F.count("*").over(mine)).filter((F.col("met") >= least) & (F.col("kind") == 1))
     rows = stored(rows.select("h", "s1", "n", "p"), "ngram-rows")
+    discard(met, pairs)
 
-    def open_rows():
-        """Rows of shingles at which different clusters meet, with label and vector."""
+    def by_tree(pick, least_rows: int, name: str):
+        """Pairs of different clusters from the trees at the shingles where at least so many sets of several clusters meet."""
         cluster = components(links)
         labels = sets.join(cluster.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "vec", F.coalesce("component", "rep").alias("c"))
         labels = stored(labels, "ngram-labels")
         here = stored(rows.join(labels.select("s1", "c"), "s1").select("h", "n", "p", "s1", "c"), "ngram-open")
-        split = stored(here.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("h", "m"), "ngram-split")
+        split = stored(here.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).filter(F.expr("lo < hi") & (F.col("m") >= least_rows)).select("h", "m"), "ngram-split")
         if split.filter(F.col("m") > hot).limit(1).count():
-            here = in_cells(here.join(split, "h"), pct, hot)
+            shared = in_cells(here.join(split, "h"), pct, hot)
         else:
-            here = here.join(split.select("h"), "h", "left_semi").withColumn("cell", F.lit(0).cast("long"))
-        return here.join(labels.select("s1", "vec"), "s1").select("h", "n", "p", "s1", "c", "vec", "cell")
-
-    def by_tree(pick):
-        """Pairs of different clusters from the trees at the open shingles."""
+            shared = here.join(split.select("h"), "h", "left_semi").withColumn("cell", F.lit(0).cast("long"))
         # a cell of a hot shingle is a shingle of its own from here on
-        dealt = open_rows().withColumn("h", F.when(F.col("cell") == 0, F.col("h")).otherwise(F.xxhash64("h", "cell"))).drop("cell")
-        dealt = dealt.repartition("h").sortWithinPartitions("h", "n", "s1")
+        dealt = shared.join(labels.select("s1", "vec"), "s1").withColumn("h", F.when(F.col("cell") == 0, F.col("h")).otherwise(F.xxhash64("h", "cell"))).drop("cell")
+        dealt = dealt.select("h", "n", "p", "s1", "c", "vec").repartition("h").sortWithinPartitions("h", "n", "s1")
         pairs = dealt.mapInArrow(tidy(_tree_pairs(pct, pick, slack)), "a long, b long, n_a int, n_b int, times int")
-        return pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times"))
+        out = stored(pairs.groupBy("a", "b").agg(F.sum("times").alias("times")), name)
+        discard(here, split, labels)
+        return out
 
-    # nearest partners first, the one that a set met most: large groups of near copies are one cluster before all their
+    # nearest partners first where many meet, the one that a set met most: large groups of near copies are one cluster before all their
     # pairs are asked for
-    met_most = by_tree(_nearest).select(F.explode(F.expr("array(struct(a as s, a, b, times), struct(b as s, a, b, times))")).alias("x")).groupBy("x.s")
+    met_most = by_tree(_nearest, LEAF + 1, "ngram-nearest").select(F.explode(F.expr("array(struct(a as s, a, b, times), struct(b as s, a, b, times))")).alias("x")).groupBy("x.s")
     nearest = met_most.agg(F.max_by(F.struct("x.a", "x.b"), F.struct("x.times", "x.a", "x.b")).alias("y")).select("y.*").distinct()
-    links = links.unionByName(verified(stored(named(nearest), "ngram-nearest"), docs, k, pct))
-    left = by_tree(_pairs_by_shingle)
-    linked = components(links.unionByName(verified(stored(named(left), "ngram-left"), docs, k, pct)))
+    links = links.unionByName(verified(stored(named(nearest), "ngram-near"), docs, k, pct))
+    left = by_tree(_pairs_by_shingle, 2, "ngram-left")
+    linked = components(links.unionByName(verified(stored(named(left), "ngram-rest"), docs, k, pct)))
 
     final = sets.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     final = stored(final, "ngram-final")
