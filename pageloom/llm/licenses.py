@@ -113,14 +113,14 @@ def terms(text: Column) -> Column:
 
 
 def line_matches(lines: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """line, licence, cosine for each distinct line (columns line, n: its rows) that is near enough to a wording.
+    """key, licence, cosine for each distinct line (columns key, line, n: its rows) that is near enough to a wording.
 
     Weights are (count of the term) * (1 + ln((1+N)/(1+df))), N and df over all rows of lines. The best wording wins, the
     first licence by name on a tie at six places.
     """
     spark: SparkSession = lines.sparkSession
     total = lines.agg(F.sum("n")).first()[0] or 0
-    tf = lines.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    tf = lines.select("key", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     tf = stored(tf, "licence-terms")
     df = stored(tf.groupBy("term").agg(F.sum("n").alias("df")), "licence-df")
     idf = 1 + F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0))))
@@ -129,13 +129,13 @@ def line_matches(lines: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     words = words.groupBy("licence", "i", "term").agg(F.count("*").alias("tf"))
     words = stored(words.join(df, "term", "left").select("licence", "i", "term", (F.col("tf") * idf).alias("wt")), "licence-wordings")
     norm = words.groupBy("licence", "i").agg(F.sqrt(F.sum(F.col("wt") * F.col("wt"))).alias("nt"))
-    weighed = stored(tf.join(df, "term").select("line", "term", (F.col("tf") * idf).alias("wl")), "licence-weights")
-    length = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("wl") * F.col("wl"))).alias("nl"))
+    weighed = stored(tf.join(df, "term").select("key", "term", (F.col("tf") * idf).alias("wl")), "licence-weights")
+    length = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("wl") * F.col("wl"))).alias("nl"))
     # the templates are a parameter, so their terms are few
-    dot = weighed.join(F.broadcast(words), "term").groupBy("line", "licence", "i").agg(F.sum(F.col("wl") * F.col("wt")).alias("dot"))
-    scored = dot.join(F.broadcast(norm), ["licence", "i"]).join(length, "line").withColumn("cosine", F.round(F.col("dot") / (F.col("nl") * F.col("nt")), 6))
+    dot = weighed.join(F.broadcast(words), "term").groupBy("key", "licence", "i").agg(F.sum(F.col("wl") * F.col("wt")).alias("dot"))
+    scored = dot.join(F.broadcast(norm), ["licence", "i"]).join(length, "key").withColumn("cosine", F.round(F.col("dot") / (F.col("nl") * F.col("nt")), 6))
     best = F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence"))
-    return scored.filter(F.col("cosine") >= least).groupBy("line").agg(best.alias("b")).select("line", "b.licence", "b.cosine")
+    return scored.filter(F.col("cosine") >= least).groupBy("key").agg(best.alias("b")).select("key", "b.licence", "b.cosine")
 
 
 def licences(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -149,9 +149,10 @@ def licences(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     """
     docs = docs.select("doc_id", "path", "text")
     heads = docs.select("doc_id", "path", F.explode(units(text_or_empty())).alias("line"))
-    heads = stored(heads, "licence-heads")
-    found = stored(line_matches(heads.groupBy("line").agg(F.count("*").alias("n")), templates, least), "licence-lines")
-    own = heads.join(found, "line").groupBy("doc_id", "path").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("own"))
+    heads = stored(heads.withColumn("key", F.unhex(F.md5("line"))), "licence-heads")
+    lines = heads.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    found = stored(line_matches(lines, templates, least), "licence-lines")
+    own = heads.select("doc_id", "path", "key").join(found, "key").groupBy("doc_id", "path").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("own"))
     own = stored(own, "licence-own")
     parent = F.regexp_replace("path", "/?[^/]*$", "")
     ruled = own.filter("path is not null").groupBy(parent.alias("dir")).agg(F.min_by(F.struct("own.licence", "own.cosine"), F.struct(~F.col("path").rlike(LICENCE_FILE), F.col("doc_id").isNull(), "doc_id", "path", "own.licence")).alias("rule"))
