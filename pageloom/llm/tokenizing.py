@@ -17,7 +17,7 @@ from array import array
 
 #: Pieces that a worker remembers, and runs of marks. At that number it keeps only the pieces of the texts at hand, so
 #: memory is bounded and results don't change.
-REMEMBERED, TAILS = 350_000, 10_000
+REMEMBERED, TAILS = 600_000, 10_000
 
 
 def load(path: str):
