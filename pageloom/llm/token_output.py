@@ -18,12 +18,12 @@ CHUNKS = "part int, seq int, local_start long, n_ids long, doc_ids array<long>,
 _SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _writer(tokenizer: str, end_id: int, chunk_ids: int):
+def _writer(tokenizer: str, end_id: int, chunk_ids: int, remembered: int | None):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        encoder = tokenizing.encoder(tokenizer)
+        encoder = tokenizing.encoder(tokenizer, remembered)
         docs, held, size = [], [], 0
 
         def chunk():
@@ -46,16 +46,17 @@ def _writer(tokenizer: str, end_id: int, chunk_ids: int):
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, order: tuple[str, ...] = ("doc_id", "text")) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, order: tuple[str, ...] = ("doc_id", "text"), remembered: int | None = None) -> None:
     """Write the ids of every text (null: none), each with end_id after it, in ascending order of the columns of order.
 
     One row of the table at path is a chunk of whole documents: its place (part, seq, ids before it in its part), the
     documents' ids and lengths, and the packed ids. By default rows without doc_id come first and rows with the same
-    doc_id follow each other by text. A document of any length is one entry.
+    doc_id follow each other by text. A document of any length is one entry. A worker remembers the ids of so many words
+    (tokenizing.REMEMBERED if not said): more of its memory for less of its time.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"), *(c for c in order if c not in ("doc_id", "text")))
     ordered = rows.repartitionByRange(order[0]).sortWithinPartitions(*order).select("doc_id", "text")
-    ordered.mapInArrow(tidy(_writer(tokenizer, end_id, chunk_ids)), CHUNKS).write.parquet(path)
+    ordered.mapInArrow(tidy(_writer(tokenizer, end_id, chunk_ids, remembered)), CHUNKS).write.parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -98,12 +99,12 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     return read_chunks(spark, path).select("doc_ids", "lengths", "payload").mapInArrow(tidy(run), "doc_id long, ids array<long>")
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, order: tuple[str, ...] = ("doc_id", "text"), remembered: int | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of docs (doc_id, text), read back from the files that are written to path.
 
     Without a path they go to the shared folder. Null and empty texts are their end id alone; repeated rows are entries of
     their own; other columns of docs don't matter. An empty table gives no rows.
     """
     path = path or new_path(docs.sparkSession, "token-ids")
-    write_token_ids(docs, path, tokenizer, order=order)
+    write_token_ids(docs, path, tokenizer, order=order, remembered=remembered)
     return read_digests(docs.sparkSession, path)

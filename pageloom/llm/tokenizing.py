@@ -56,8 +56,8 @@ class _Pieces(dict):
     the lead) gives that of any other.
     """
 
-    def __init__(self, encode, word, lead: str):
-        self.encode, self.word, self.lead, self.tails = encode, word, lead, {}
+    def __init__(self, encode, word, lead: str, most: int | None = None):
+        self.encode, self.word, self.lead, self.tails, self.most = encode, word, lead, {}, most
 
     def __missing__(self, w: str):
         b = w.rstrip(string.punctuation)
@@ -78,7 +78,7 @@ class _Pieces(dict):
 
     def trim(self, parts: list[list[str]]) -> None:
         """Forget what is too much; words of parts stay."""
-        if len(self) > REMEMBERED:
+        if len(self) > (self.most or REMEMBERED):
             stay = {w: self[w] for w in set().union(*parts) & self.keys()}
             self.clear()
             self.update(stay)
@@ -135,10 +135,10 @@ class Counter:
 class Encoder:
     """Token ids of texts, as little-endian uint32 bytes, by a file that lower-cases and whose pre-tokenizer drops all white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         self.tok = load(path)
         self.model = self.tok.model
-        self.pieces = _Pieces(self._ids, self._word, "")
+        self.pieces = _Pieces(self._ids, self._word, "", remembered)
         self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
 
     def _word(self, lead: str, word: str) -> bytes:
@@ -167,5 +167,5 @@ def counter(path: str) -> Counter:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    return Encoder(path, remembered)
