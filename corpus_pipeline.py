@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import decontamination, mixing, ngram_join, token_output, toxicity
-from pageloom.llm.common import stored, table
+from pageloom.llm.common import small_batches, stored, table
+
+
+#: Words that a worker's encoder remembers; less than alone, as the workers and executors here hold other stages' memory too.
+REMEMBERED = 80_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that give away no benchmark item."""
-    found = stored(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    with small_batches(spark):
+        found = stored(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -41,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every draw in the order of the mix, read back from the packed files."""
-    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), order=("slot", "place"))
+    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), order=("slot", "place"), remembered=REMEMBERED)
 
 
 STAGES = [
